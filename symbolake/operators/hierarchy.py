@@ -7,6 +7,10 @@ the loop shuffles each inner node once. Nodes that no root reaches lie on or und
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +22,29 @@ def parent_map(edges: DataFrame, parent: str, child: str) -> DataFrame:
     return edges.where(F.col(parent).isNotNull() & F.col(child).isNotNull()).groupBy(F.col(child).alias("node")).agg(F.min(parent).alias("parent"))
 
 
-def hierarchy(edges: DataFrame, parent: str, child: str, paths: bool = True) -> DataFrame:
+#: With no more inner nodes left than this, the last levels are walked inside one task instead of one job each.
+REST_ROWS = 100_000
+_NODE = "node string, root string, depth long, path array<string>"
+
+
+def _rest(paths: bool):
+    """The remaining levels of a bounded rest: frontier rows (parent null) and unreached (node, parent) rows."""
+
+    def walk(frames: Iterator) -> Iterator:
+        children, level = defaultdict(list), []
+        for f in frames:
+            for node, parent, root, depth, path in zip(f["node"], f["parent"], f["root"], f["depth"], f["path"], strict=True):
+                if parent is None:
+                    level.append((node, root, int(depth), list(path)))
+                else:
+                    children[parent].append(node)
+        while level := [(c, r, d + 1, [*p, c] if paths else p) for n, r, d, p in level for c in children.get(n, ())]:
+            yield pd.DataFrame(level, columns=["node", "root", "depth", "path"])
+
+    return walk
+
+
+def hierarchy(edges: DataFrame, parent: str, child: str, paths: bool = True, rest_rows: int = REST_ROWS) -> DataFrame:
     """Every id in `parent` or `child` of `edges` once: node, root, depth and, with `paths`, path (array of ids, root first).
 
     A node on or under a cycle (a self-loop is one) has root `''`, depth -1 and a null path. Repeated rows count once;
@@ -40,6 +66,12 @@ def hierarchy(edges: DataFrame, parent: str, child: str, paths: bool = True) ->
         if 2 * gone >= left > 0:
             down, left = materialize(down.join(_union(seen, root), "node", "left_anti"), "down"), left - gone
             seen, gone = [], 0
+        if 0 < left - gone <= rest_rows:
+            top = frontier.withColumn("parent", F.lit(None).cast("string"))
+            under = down if not seen else down.join(_union(seen, root), "node", "left_anti")
+            both = top.unionByName(under, allowMissingColumns=True).select("node", "parent", "root", "depth", "path")
+            levels.append(materialize(both.coalesce(1).mapInPandas(_rest(paths), _NODE), "level"))
+            break
         # Broadcast only if the planner finds one side, whose size it knows from its files, below its threshold.
         f = frontier.select(F.col("node").alias("parent"), "root", "depth", "path")
         below = down.join(f, "parent").select("node", "root", (F.col("depth") + 1).alias("depth"), (F.concat("path", F.array("node")) if paths else F.col("path")).alias("path"))
