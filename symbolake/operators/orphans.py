@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from symbolake.runtime import heavy_keys, salted
 
@@ -47,7 +48,7 @@ def _may_contain(words) -> callable:
     """A vectorised test of key hashes against the broadcast filter."""
     bits = len(words.value) * 64
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(T.BooleanType())
     def test(h1: pd.Series, h2: pd.Series) -> pd.Series:
         a, b = h1.to_numpy(), h2.to_numpy()
         ok = np.ones(len(a), dtype=bool)
