@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-POINTER = "_current"
+from symbolake.sources.pointer import Pointer
 
 
 def content_hash(*cols: str) -> Column:
@@ -29,23 +29,11 @@ class StateStore:
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str]):
         self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
-        self._overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        self._overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        self.pointer = Pointer(spark, self.path)
 
     def version(self) -> str | None:
         """The current version's folder name, None before the first commit."""
-        at = self._path(f"{self.path}/{POINTER}")
-        if not self._fs.exists(at):
-            return None
-        stream = self._fs.open(at)
-        try:
-            return bytes(stream.readAllBytes()).decode().strip()
-        finally:
-            stream.close()
+        return self.pointer.read()
 
     def read(self, like: DataFrame) -> DataFrame:
         """The current state; before the first commit an empty one with the key types of `like`."""
@@ -75,14 +63,8 @@ class StateStore:
         return name
 
     def swap(self, name: str) -> None:
-        """Makes a staged version current: the pointer is written aside and renamed over the old one."""
-        aside = self._path(f"{self.path}/{POINTER}.{name}")
-        stream = self._fs.create(aside, True)
-        try:
-            stream.write(bytearray(name.encode()))
-        finally:
-            stream.close()
-        self._context.rename(aside, self._path(f"{self.path}/{POINTER}"), self._overwrite)
+        """Makes a staged version current."""
+        self.pointer.swap(name)
 
     def commit(self, processed: DataFrame) -> str:
         """Merges processed rows (keys and `content_hash`) into the state and swaps versions atomically."""
