@@ -52,7 +52,8 @@ def hierarchy(edges: DataFrame, parent: str, child: str, paths: bool = True, res
     id is taken. Empty edges give no rows. Other columns are ignored.
     """
     up = materialize(parent_map(edges, parent, child), "parents")
-    inner = materialize(up.select(F.col("parent").alias("node")).distinct(), "inner")
+    both = edges.where(F.col(parent).isNotNull() & F.col(child).isNotNull())
+    inner = materialize(both.select(F.col(parent).alias("node")).distinct(), "inner")
     # The levels below only look for inner nodes with a container; those already reached are cut away as they grow in number.
     down = materialize(up.join(inner, "node", "left_semi"), "down")
     empty = F.array().cast("array<string>")
