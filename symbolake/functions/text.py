@@ -168,9 +168,9 @@ def compact_number(n: Column | str) -> Column:
 
 def summary_reply(raw: Column | str) -> Column:
     """(summary, queries) of a model's reply: the last SUMMARY line, the last QUERIES line split at bars; without summary the first line that isn't blank."""
-    lines = F.transform(F.split(_c(raw), r"\r?\n"), F.trim)
+    lines = F.transform(F.split(_c(raw), r"\r?\n"), _strip)
     said = F.filter(lines, lambda x: x.startswith("SUMMARY:"))
-    last = F.trim(F.substring(F.element_at(said, -1), F.lit(9), F.length(_c(raw))))
+    last = _strip(F.substring(F.element_at(said, -1), F.lit(9), F.length(_c(raw))))
     asked = F.filter(lines, lambda x: x.startswith("QUERIES:"))
     fallback = F.coalesce(F.get(F.filter(lines, lambda x: x != ""), F.lit(0)), F.lit(""))
     summary = F.when((F.size(said) > 0) & (last != ""), last).otherwise(fallback)

@@ -151,7 +151,7 @@ _RANK = "symbol_id string, rank double"
 
 def _power(seeds: list[str], damping: float, iterations: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        both = pd.concat(list(frames), ignore_index=True)
+        both = pd.concat(list(frames), ignore_index=True).dropna()
         codes, ids = pd.factorize(pd.concat([both["a"], both["b"], pd.Series(seeds, dtype=object)], ignore_index=True))
         n, m = len(ids), len(both)
         a, b, seed = codes[:m], codes[m : 2 * m], codes[2 * m :]
@@ -177,7 +177,8 @@ def pagerank(seeds: list[str], edges: DataFrame, damping: float = DAMPING, itera
     spark = edges.sparkSession
     ab = edges.where(F.col("kind").isin("Calls", "Imports")).select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"))
     if ab.count() <= kernel_edges:
-        return ab.coalesce(1).mapInPandas(_power(list(seeds), damping, iterations), _RANK)
+        mark = spark.createDataFrame([(None, None)], "a string, b string")  # a row even without edges
+        return ab.unionByName(mark).coalesce(1).mapInPandas(_power(list(seeds), damping, iterations), _RANK)
     both = ab.unionByName(ab.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
     degree = both.groupBy("a").agg(F.sum("w").alias("degree"))
     link = materialize(both.join(degree, "a").select("a", "b", (F.col("w") / F.col("degree")).alias("p")), "links")

@@ -208,6 +208,7 @@ class _Text:
 def _script(out: Out, root: Scope, text: str) -> None:
     t = _Text(text)
     stack: list[tuple[int, Scope]] = [(len(text) + 1, root)]
+    shapes: set[int] = set()  # braces of interfaces, whose entries are declarations
     members: dict[int, int] = {}  # braces whose direct entries may be methods, and where they end
 
     def define(start: int, name: str, kind: str, brace: int) -> None:
@@ -240,6 +241,8 @@ def _script(out: Out, root: Scope, text: str) -> None:
                 continue
             if m["cls"] == "class":
                 members[brace] = t.pair.get(brace, len(text))
+            else:
+                shapes.add(brace)
             if m["cls"] == "interface" and out.language == "TypeScript" or m["cls"] == "class" and not m["abs"] and t.before(i) not in ("=", "(", ",", ":", "?"):
                 define(m.start("cls"), m["cname"], "Class" if m["cls"] == "class" else "Interface", brace)
         elif m["id"]:
@@ -248,6 +251,8 @@ def _script(out: Out, root: Scope, text: str) -> None:
             while k >= 0 and t.pair[holders[k]] < i:
                 k -= 1
             brace = holders[k] if k >= 0 else -1
+            if brace in shapes:
+                continue
             lead = _MODIFIERS.search(t.clean, max(brace + 1, i - 120), i).start()
             mark = t.before(lead)
             literal = brace >= 0 and brace not in members and t.before(brace) in ("=", "(", ",", ":", "[", "?", "n")
@@ -257,6 +262,8 @@ def _script(out: Out, root: Scope, text: str) -> None:
                 if inner is not None and re.fullmatch(r"\s*(?::[^;=]*)?\s*", gap):
                     define(lead, name, "Method", inner)
                     continue
+                if inner is None and brace in members:
+                    continue  # a declaration
             if name not in _NO_CALL and not re.search(r"\bnew\s+(?:[\w$]+\s*\.\s*)*\Z", t.clean[max(0, i - 80) : i]) and not m["opt"] or m["opt"] and name not in _NO_CALL:
                 out.calls(stack[-1][1].caller, name)
 
