@@ -43,10 +43,7 @@ def _python(text: str):
     for m in _PY.finditer(text):
         kind = m.lastgroup
         if kind == "name":
-            if depth and not pending:  # an unclosed bracket of broken source ends at the next definition
-                depth = 0
-            if depth:
-                continue
+            depth = 0  # an unclosed bracket of broken source ends at the next definition
             indent = len(m["ind"].expandtabs(8))
             while stack and stack[-1][0] >= indent:
                 stack.pop()

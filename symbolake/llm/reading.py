@@ -144,7 +144,7 @@ def _featurise(bits, graded: bool):
 
 
 def fit_ordinal(x: np.ndarray, band: np.ndarray, ridge: float = 1e-3, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and two cut points of a proportional-odds model on standardised `x`, by damped Newton-like steps on its ridge-penalised likelihood."""
+    """Weights and two cut points of a proportional-odds model on standardised `x`, by gradient steps of adapted size on its ridge-penalised likelihood."""
     n, k = x.shape
     w, cut = np.zeros(k), np.array([-1.0, 1.0])
     rate, m, v = 0.1, np.zeros(k + 2), np.zeros(k + 2)
@@ -161,7 +161,9 @@ def fit_ordinal(x: np.ndarray, band: np.ndarray, ridge: float = 1e-3, steps: int
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, cut = w + step[:k], cut + step[k:]
-    return w, np.sort(cut)
+    if cut[0] > cut[1]:  # no middle band in the sample
+        cut[:] = cut.mean()
+    return w, cut
 
 
 def _cases(documents: DataFrame) -> DataFrame:
