@@ -130,7 +130,7 @@ def _lines(df: DataFrame, section: str, line: Column, order: list[str], limit: i
 
 
 def guide_evidence(symbols: DataFrame, edges: DataFrame, documents: DataFrame) -> DataFrame:
-    """(repo, section, evidence): up to ten sections per repo, blank ones left out, cut at SECTION_CHARS characters."""
+    """(repo, section, evidence): up to twelve sections per repo, blank ones left out, cut at SECTION_CHARS characters."""
     nodes, att = load_graph(symbols.sparkSession, symbols, edges)
     t = texts(documents)
     named = lambda files, lines=EXCERPT_LINES: files.join(t, ["repo", "file_path"]).select("*", excerpt(F.col("text"), F.lit(1), lines).alias("x")).where("x is not null")
@@ -145,6 +145,8 @@ def guide_evidence(symbols: DataFrame, edges: DataFrame, documents: DataFrame) -
         _lines(casing_vote(nodes), "naming", F.concat_ws("", "group", F.lit(": "), "casing", F.lit(" "), "n", F.lit("/"), "total"), ["group"], 10),
         _lines(signature_samples(nodes), "signatures", F.col("signature"), ["signature"], 30),
         _lines(named(pick("types")), "types", block, ["file_path"], 4),
+        _lines(named(entry_points(nodes)), "entry points", block, ["file_path"], 4),
+        _lines(named(pick("decorators")), "decorators", block, ["file_path"], 2),
         _lines(big, "classes", block, [F.desc("span"), "file_path"], 4),
         _lines(named(call_sites(att, nodes)), "libraries", block, ["file_path"], 7),
         _lines(named(pick("errors")), "errors", block, ["file_path"], 4),

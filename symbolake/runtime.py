@@ -1,7 +1,7 @@
 """Session helpers shared by all operators: table loading, reliable materialisation, heavy keys.
 
-Nothing here keeps data on an executor only: `checkpoint` and `materialize` write to the folder that the
-session names in ``spark.checkpoint.dir``, so a lost executor costs a re-read and not a re-computation.
+Nothing here keeps data on an executor only: `materialize` writes to the folder that the session names in
+``spark.checkpoint.dir``, so a lost executor costs a re-read and not a re-computation.
 """
 
 from __future__ import annotations
@@ -29,10 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """`df` computed once and cut off from its lineage, keeping its partitioning (reliable checkpoint)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: What `materialize` wrote in this process, for `clear`.
+_WRITTEN: list[str] = []
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes what `materialize` wrote so far; frames made from it can't be read any more. Returns the number of folders."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _WRITTEN:
+        at = path(_WRITTEN.pop())
+        n += bool(at.getFileSystem(conf).delete(at, True))
+    return n
 
 
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:
@@ -40,6 +48,7 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

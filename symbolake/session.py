@@ -19,7 +19,7 @@ from symbolake.operators import style as S
 from symbolake.operators.resolve import resolve
 from symbolake.providers import complete_all
 from symbolake.runtime import materialize
-from symbolake.sources import git
+from symbolake.sources import git, manifests
 from symbolake.sources.repo_walk import parse, read_trees
 from symbolake.sources.store import GraphStore
 
@@ -44,7 +44,7 @@ class Session:
         files = read_trees(self.spark, roots)
         symbols, raw = parse(files)
         commits = {repo_name(r): c for r in roots if (c := git.head_commit(r))}
-        return self._finish(symbols, raw, commits, files, embed, enrich, flows, guide, max_enrich, max_flows)
+        return self._finish(symbols, raw, commits, files, embed, enrich, flows, guide, max_enrich, max_flows, roots=roots)
 
     def index(self, root: str, **steps) -> dict:
         """Indexes one tree; other repos of the index stay as they are."""
@@ -52,7 +52,7 @@ class Session:
         symbols, raw = parse(files)
         name = repo_name(root)
         old_s, old_r = self.store.read("symbols").where(F.col("package") != name), self.store.read("raw_edges").where(F.col("src_package") != name)
-        return self._finish(_after(old_s, symbols), _after(old_r, raw), _commit(root), files, **steps)
+        return self._finish(_after(old_s, symbols), _after(old_r, raw), _commit(root), files, roots=[root], **steps)
 
     def index_incremental(self, root: str, since: str | None = None, **steps) -> dict:
         """Re-reads only files that changed since the recorded (or given) commit; the result equals a full rebuild."""
@@ -69,9 +69,9 @@ class Session:
         old_s, old_r = self.store.read("symbols"), self.store.read("raw_edges")
         kept, edges = I.drop_files(old_s, old_r, diff.where(F.col("status") != "added").select("repo", F.col("path").alias("file_path")))
         stale = I.stale_symbols(symbols, diff.select("repo", F.col("path").alias("file_path"), F.col("status").alias("change")), self.store.read("repo_meta"))
-        return {"changed": change.total(), **self._finish(_after(kept, symbols), _after(edges, raw), _commit(root), files, stale=stale, **steps)}
+        return {"changed": change.total(), **self._finish(_after(kept, symbols), _after(edges, raw), _commit(root), files, stale=stale, roots=[root], **steps)}
 
-    def _finish(self, symbols, raw, commits, files, embed=True, enrich=False, flows=False, guide=False, max_enrich=None, max_flows=20, stale=None) -> dict:
+    def _finish(self, symbols, raw, commits, files, embed=True, enrich=False, flows=False, guide=False, max_enrich=None, max_flows=20, stale=None, roots=None) -> dict:
         symbols, raw = materialize(symbols, "symbols"), materialize(raw, "raw")
         bound, stats = resolve(symbols, raw)
         order = raw.groupBy("src_id", "kind").agg(F.min("ordinal").alias("ordinal"))
@@ -87,7 +87,7 @@ class Session:
         if flows and self.provider:
             tables["flows"] = self._flows(nodes, edges, max_flows)
         if guide and self.provider:
-            tables["style_guide"] = self._guide(symbols, edges, files)
+            tables["style_guide"] = self._guide(symbols, edges, files, roots or [])
         version = self.store.commit(**tables)
         self._loaded = None
         n, m = self.store.counts()
@@ -106,9 +106,11 @@ class Session:
         said = complete_all(R.trace_text(hops), "origin", "trace", "flow", self.provider).where("reply is not null").select(F.col("origin").alias("symbol_id"), X.narration_reply("reply").alias("r"))
         return materialize(said.select("symbol_id", "r.narration", "r.queries"), "flows")
 
-    def _guide(self, symbols, edges, files) -> DataFrame:
+    def _guide(self, symbols, edges, files, roots) -> DataFrame:
         texts = files.select("repo", F.col("path").alias("file_path"), F.col("content").alias("text"))
-        ev = S.guide_evidence(symbols, edges, texts).withColumn("key", F.concat_ws("\n", "repo", "section"))
+        declared = [(repo_name(r), "declared", t[: S.SECTION_CHARS]) for r in roots if (t := manifests.evidence(r))]
+        declared = self.spark.createDataFrame(declared, "repo string, section string, evidence string")
+        ev = S.guide_evidence(symbols, edges, texts).unionByName(declared).withColumn("key", F.concat_ws("\n", "repo", "section"))
         said = complete_all(ev, "key", "evidence", "guide", self.provider).where(F.col("reply").isNotNull() & ~F.lower("reply").contains("no convention"))
         part = F.split("key", "\n")
         rows = F.array_sort(F.collect_list(F.struct(part[1].alias("s"), "reply")))  # at most ten sections

@@ -12,6 +12,7 @@ import pytest
 from symbolake import cli, config, rpc
 from symbolake.providers import Offline
 from symbolake.session import Session
+from symbolake.sources import manifests
 from symbolake.sources.extract import extract
 from symbolake.sources.repo_walk import parse, read_trees, walk
 from symbolake.sources.store import GraphStore
@@ -193,6 +194,14 @@ def test_config(tmp_path, monkeypatch):
     assert config.gate_model_steps({"embed": True, "enrich": True}, None) == {"embed": True, "enrich": False}
 
 
+def test_manifests(tmp_path):
+    write(tmp_path, {"pyproject.toml": '[project]\ndependencies = ["numpy>=2", "x"]\n', "package.json": '{"dependencies": {"react": "^18", "odd": 1}}', ".editorconfig": "indent_size = 4\n"})
+    assert manifests.dependencies(str(tmp_path)) == ["numpy>=2", "x", "react ^18", "odd"]
+    assert "indent_size" in manifests.evidence(str(tmp_path))
+    write(tmp_path, {"pyproject.toml": "= no", "package.json": "[]"})
+    assert manifests.dependencies(str(tmp_path)) == [] and manifests.dependencies(str(tmp_path / "none")) == []
+
+
 def test_streaming(spark, tmp_path):
     schema = "repo string, commit string, seq int, arrived_at timestamp_ntz, added array<string>, modified array<string>, deleted array<string>"
     row = lambda c, n, day: ("r", c, n, datetime(2024, 1, day), [f"{c}.py", None], ["a\\b.py"], None)
