@@ -155,6 +155,8 @@ def near_prints(index: ItemIndex, fp: np.ndarray) -> tuple[np.ndarray, np.ndarra
 SIDE, SHIFT = 20, 3
 #: Of LEAK_WORDS tokens around a window, at least so many are the item's, give or take the shift, with this share of the weight.
 NEAR, NEAR_WEIGHT = 13, 0.4
+#: Pairs of places that are looked at together, and characters of texts; both bound a task's memory.
+SEEDS, CHARS = 1_000_000, 8_000_000
 #: Of a leaked stretch's weight, at least this share is there; below it only common phrases agree.
 LEAK_WEIGHT = 0.4
 #: Tokens that more than one item in so many has are common and weigh next to nothing.
@@ -175,13 +177,24 @@ def candidates(index: ItemIndex, codes: np.ndarray, doc: np.ndarray) -> np.ndarr
         return none
     fp, inverse = np.unique(_majority(index.hashes[np.maximum(codes, 0)])[at], return_inverse=True)
     i, j = near_prints(index, fp)
-    # windows of the documents by fingerprint, places of the items by fingerprint
-    order = np.argsort(inverse, kind="stable")
-    first = np.searchsorted(inverse[order], np.arange(len(fp) + 1))
-    a, pa_ = _spread(first[i], first[i + 1])
-    seed_doc, seed_j = at[order[pa_]], j[a]
-    b, pb = _spread(index.first[seed_j], index.first[seed_j + 1])
-    p, q = seed_doc[b], index.places[pb]
+    if not len(i):
+        return none
+    # Of each window: its fingerprint's pairs, and how many places of the items they name.
+    first = np.searchsorted(i, np.arange(len(fp) + 1))
+    load = np.concatenate([[0], np.cumsum(index.first[j + 1] - index.first[j])])
+    per_window = (load[first[1:]] - load[first[:-1]])[inverse]
+    at, inverse = at[per_window > 0], inverse[per_window > 0]
+    part = np.cumsum(per_window[per_window > 0]) // SEEDS
+    borders = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(at)]
+    out = [_near(index, codes, doc, at[x:y], inverse[x:y], first, j) for x, y in zip(borders, borders[1:], strict=False) if x < y]
+    return np.concatenate(out) if out else none
+
+
+def _near(index: ItemIndex, codes: np.ndarray, doc: np.ndarray, at: np.ndarray, print_of: np.ndarray, first: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """`candidates` of the windows at `at`."""
+    w, pair = _spread(first[print_of], first[print_of + 1])
+    k, place = _spread(index.first[j[pair]], index.first[j[pair] + 1])
+    p, q = at[w[k]], index.places[place]
     # One seed for each unbroken run on a diagonal.
     diagonal = p - q + len(index.flat)
     o = np.lexsort((p, diagonal))
@@ -191,10 +204,10 @@ def candidates(index: ItemIndex, codes: np.ndarray, doc: np.ndarray) -> np.ndarr
     p, q = p[head], q[head]
     out = []
     wide = np.arange(-SIDE, SIDE + WINDOW)
-    padded = np.concatenate([np.full(SIDE, -1, codes.dtype), codes, np.full(SIDE + WINDOW, -1, codes.dtype)])
     for s in range(0, len(p), 100_000):
         ps, qs = p[s : s + 100_000, None], q[s : s + 100_000, None]
-        mine = padded[ps + wide + SIDE]
+        spot = ps + wide
+        mine = np.where((spot >= 0) & (spot < len(codes)), codes[np.clip(spot, 0, len(codes) - 1)], -1)
         hit = np.zeros(mine.shape, dtype=bool)
         for shift in range(-SHIFT, SHIFT + 1):
             hit |= mine == index.flat[qs + wide + shift]
@@ -202,7 +215,7 @@ def candidates(index: ItemIndex, codes: np.ndarray, doc: np.ndarray) -> np.ndarr
         ok = ((_sums(hit.astype(np.float32)) >= NEAR) & (_sums(mass) >= 0)).any(axis=1)
         item = index.owner[qs[ok, 0]]
         out.append(np.stack([doc[ps[ok, 0]], item, ps[ok, 0], qs[ok, 0] - index.start[item]], axis=1))
-    return np.concatenate(out) if out else none
+    return np.concatenate(out)
 
 
 def _sums(x: np.ndarray) -> np.ndarray:
@@ -263,41 +276,45 @@ def leaked_words(item: list, item_words: list[int], item_end: int, text: list, t
 def _find(index, min_words: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix: ItemIndex = index.value
-        get = ix.vocabulary.get
-        for f in frames:
-            codes, doc, starts = [], [], []
-            for n, text in enumerate(f["text"]):
-                c = [get(t, -1) for t in tokens(text)]
-                starts.append(len(codes))
-                codes += c
-                codes.append(-1)
-                doc.append(len(c) + 1)
-            codes_a = np.array(codes, dtype=np.int32)
-            found = candidates(ix, codes_a, np.repeat(np.arange(len(doc)), doc))
-            rows = []
-            if len(found):
-                seen: dict[tuple[int, int], list[tuple[int, int]]] = {}
-                for d, i, p, q in found.tolist():
-                    seen.setdefault((d, i), []).append((p - starts[d], q))
-                split: dict[int, tuple] = {}
-                for (d, i), places in seen.items():
-                    if d not in split:
-                        split[d] = word_tokens(f["text"].iloc[d])
-                    toks, at, size = split[d]
-                    best, upto, length = 0, -math.inf, len(ix.texts[i])
-                    for p, q in sorted(places):
-                        if p - q <= upto:
-                            continue
-                        # where the whole item would lie if it began at this place, and some more
-                        low, high, upto = max(0, p - q - length // 4), max(0, p - q + length + length // 4), p - q + length // 8
-                        best = max(best, leaked_words(ix.texts[i], *ix.words[i], toks[low:high], at[low:high], size, ix.weights[i], min_words))
-                    if best:
-                        rows.append((f["doc_id"].iloc[d], ix.ids[i], best))
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words"])
+        for frame in frames:
+            size = frame["text"].str.len().cumsum() // CHARS
+            for _, f in frame.groupby(size, sort=True):
+                yield _search(ix, f, min_words)
 
     return run
 
 
+def _search(ix: ItemIndex, f: pd.DataFrame, min_words: int) -> pd.DataFrame:
+    """The leaks of some documents (doc_id, text)."""
+    get = ix.vocabulary.get
+    codes, doc, starts, rows = [], [], [], []
+    for text in f["text"]:
+        c = [get(t, -1) for t in tokens(text)]
+        starts.append(len(codes))
+        codes += c
+        codes.append(-1)
+        doc.append(len(c) + 1)
+    found = candidates(ix, np.array(codes, dtype=np.int32), np.repeat(np.arange(len(doc)), doc))
+    seen: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for d, i, p, q in found.tolist():
+        seen.setdefault((d, i), []).append((p - starts[d], q))
+    split: dict[int, tuple] = {}
+    for (d, i), places in seen.items():
+        if d not in split:
+            split[d] = word_tokens(f["text"].iloc[d])
+        toks, at, size = split[d]
+        best, upto, length = 0, -math.inf, len(ix.texts[i])
+        for p, q in sorted(places):
+            if p - q <= upto:
+                continue
+            # where the whole item would lie if it began at this place, and some more
+            low, high, upto = max(0, p - q - length // 4), max(0, p - q + length + length // 4), p - q + length // 8
+            best = max(best, leaked_words(ix.texts[i], *ix.words[i], toks[low:high], at[low:high], size, ix.weights[i], min_words))
+        if best:
+            rows.append((f["doc_id"].iloc[d], ix.ids[i], best))
+    return pd.DataFrame(rows, columns=["doc_id", "item_id", "words"])
+
+
 def leaks(documents: DataFrame, items: DataFrame, min_words: int = LEAK_WORDS) -> DataFrame:
     """Problem 7: (doc_id, item_id, words) of every document holding at least `min_words` successive words of an item.
 

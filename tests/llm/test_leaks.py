@@ -112,3 +112,13 @@ def test_very_long_text(spark):
     item = " ".join(f"k{i}v" for i in range(30))
     d = spark.createDataFrame([(1, "pad words here " * 40_000 + item)], "doc_id long, text string")
     assert [tuple(r) for r in L.leaks(d, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()] == [(1, 5, 30)]
+
+
+def test_repetitive_text_in_small_blocks(spark, monkeypatch, cases):
+    items, docs, want = cases
+    monkeypatch.setattr(L, "SEEDS", 50)
+    monkeypatch.setattr(L, "CHARS", 700)
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in L.leaks(d, i).collect()} == want
+    same = spark.createDataFrame([(1, "the same word again and " * 3000)], "doc_id long, text string")
+    assert L.leaks(same, spark.createDataFrame([(1, "the same word again and " * 5), (2, "no such words in it at all")], "item_id long, text string")).count() == 1
