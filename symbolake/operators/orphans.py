@@ -98,7 +98,7 @@ def graph_orphans(symbols: DataFrame, edges: DataFrame, enrichment: DataFrame) -
     """Problem 2 on the graph tables: ref_table, ref_field, ordinal, period (`YYYY-MM` or `unknown`)."""
     lives = symbols.select(F.col("symbol_id").alias("key"), F.col("indexed_at").alias("since"), F.col("removed_at").alias("until"))
     bad = orphan_references(graph_references(edges, enrichment), lives)
-    return bad.select("ref_table", "ref_field", "ordinal", F.coalesce(F.date_format("ts", "yyyy-MM"), F.lit("unknown")).alias("period"))
+    return bad.select("ref_table", "ref_field", "ordinal", F.when(F.col("ts").isNull(), "unknown").otherwise(F.format_string("%04d-%02d", F.year("ts"), F.month("ts"))).alias("period"))
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

@@ -52,12 +52,23 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Estimated bytes below which no key is heavy: all rows of such a table are one task's work.
+LIGHT_BYTES = 16 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's estimate of a frame's size; of files it is their size."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
 def heavy_keys(df: DataFrame, key: str, share: float = 0.005) -> list:
-    """Every value of `key` holding at least `share` of the rows, and at most 1/share values in all.
+    """Every value of `key` holding at least `share` of the rows, and at most 1/share values in all; none in a light table.
 
     One pass with a bounded frequency sketch per partition (no row is shuffled); values slightly below the
     share may be among them, which only costs a little replication.
     """
+    if estimated_bytes(df) < LIGHT_BYTES:
+        return []
     row = df.select(F.col(key).alias("k")).where("k is not null").stat.freqItems(["k"], share).first()
     return list(row[0]) if row and row[0] else []
 

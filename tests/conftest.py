@@ -27,3 +27,11 @@ def data():
     if not d.exists():
         pytest.skip("no test data")
     return str(d)
+
+
+@pytest.fixture(autouse=True)
+def salted(monkeypatch):
+    """Tests are small, yet hot keys are to be salted in them."""
+    from symbolake import runtime
+
+    monkeypatch.setattr(runtime, "LIGHT_BYTES", 0)
