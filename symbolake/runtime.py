@@ -58,7 +58,7 @@ LIGHT_BYTES = 16 << 20
 
 def estimated_bytes(df: DataFrame) -> int:
     """The planner's estimate of a frame's size; of files it is their size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def heavy_keys(df: DataFrame, key: str, share: float = 0.005) -> list:
