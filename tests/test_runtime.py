@@ -14,7 +14,7 @@ def test_salting_keeps_every_pair(spark, monkeypatch):
     got = Counter(map(tuple, a.join(b, on).select("k", "i", "v").collect()))
     assert got == Counter(map(tuple, left.join(right, "k").select("k", "i", "v").collect()))
     assert a.join(b, on, "left_anti").count() == left.join(right, "k", "left_anti").count()
-    monkeypatch.setattr(R, "LIGHT_BYTES", 1 << 60)
+    monkeypatch.setattr(R, "LIGHT_BYTES", 1 << 70)
     assert R.heavy_keys(left, "k", 0.1) == []
     assert R.heavy_keys(left.limit(0), "k") == []
 
