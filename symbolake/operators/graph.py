@@ -98,8 +98,9 @@ def bfs(start: DataFrame, edges: DataFrame, nodes: DataFrame, kinds: list[str],
     from its files that it is small.
     """
     here, there = ("dst_id", "src_id") if reverse else ("src_id", "dst_id")
-    adj = edges.where(F.col("kind").isin(kinds)).select(F.col(here).alias("at"), F.col(there).alias("symbol_id"), "kind").distinct()
-    order = nodes.select("symbol_id", "ordinal")
+    # Both are read at every level, so they are computed once; the files' sizes let the planner choose its joins.
+    adj = materialize(edges.where(F.col("kind").isin(kinds)).select(F.col(here).alias("at"), F.col(there).alias("symbol_id"), "kind").distinct(), "adjacency")
+    order = materialize(nodes.select("symbol_id", "ordinal"), "order")
     spark = start.sparkSession
     seen = materialize(start.select("symbol_id").distinct().join(order, "symbol_id").select("symbol_id", "ordinal", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via")), "bfs")
     levels = [seen]
@@ -176,6 +177,7 @@ def pagerank(seeds: list[str], edges: DataFrame, damping: float = DAMPING, itera
     """
     spark = edges.sparkSession
     ab = edges.where(F.col("kind").isin("Calls", "Imports")).select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"))
+    ab = materialize(ab, "pairs")
     if ab.count() <= kernel_edges:
         mark = spark.createDataFrame([(None, None)], "a string, b string")  # a row even without edges
         return ab.unionByName(mark).coalesce(1).mapInPandas(_power(list(seeds), damping, iterations), _RANK)
@@ -219,7 +221,7 @@ def context_pack(focus: DataFrame, edges: DataFrame, nodes: DataFrame, budget: i
 
 def reach(origins: DataFrame, edges: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(origin, symbol_id, depth): everything each origin reaches along Calls, from all origins at once."""
-    adj = edges.where(F.col("kind") == "Calls").select(F.col("src_id").alias("at"), F.col("dst_id").alias("symbol_id")).distinct()
+    adj = materialize(edges.where(F.col("kind") == "Calls").select(F.col("src_id").alias("at"), F.col("dst_id").alias("symbol_id")).distinct(), "adjacency")
     levels = [materialize(origins.select(F.col("symbol_id").alias("origin"), "symbol_id").distinct(), "reach")]
     for d in range(1, depth + 1):
         lhs, rhs, on = salted(adj, levels[-1].select("origin", F.col("symbol_id").alias("at")), "at", heavy_keys(adj, "at"))

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from symbolake.functions import text as X
 from symbolake.operators.reports import DEFINITIONS, newest_enrichment
+from symbolake.runtime import materialize
 
 K1, B = 1.2, 0.75
 #: Candidates of each list before fusion, and the constant of reciprocal rank fusion.
@@ -51,18 +52,20 @@ def _equals(term: str):
 
 
 def bm25(docs: DataFrame, key: str, text: str, query: str, limit: int = POOL) -> DataFrame:
-    """Top (key, score) of a query without an index: two scans, no shuffle of the texts.
+    """Top (key, score) of a query without an index: one scan of the texts, which are not shuffled.
 
-    The first scan counts documents, lengths and the query's terms; the second scores. Equal scores go by key.
+    The scan leaves a row of counts per document: its words and the query's terms. Statistics and scores come from those.
+    Equal scores go by key; documents with null key are left out.
     """
     spark = docs.sparkSession
     terms = sorted({str(w) for w in spark.range(1).select(F.explode(F.regexp_extract_all(F.lower(F.lit(query)), F.lit(WORD), 0))).toPandas().iloc[:, 0]})
     kind = docs.schema[key].dataType
     if not terms:
         return spark.createDataFrame([], T.StructType([T.StructField(key, kind), T.StructField("score", T.DoubleType())]))
-    t = docs.where(F.col(key).isNotNull()).select(key, tokens(text).alias("_t"))
-    tf = [F.size(F.filter("_t", _equals(x))) for x in terms]
-    counted = t.select(key, F.size("_t").alias("len"), *(c.alias(f"t{i}") for i, c in enumerate(tf)))
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    one_of = rf"(?<![\p{{L}}\p{{N}}])({'|'.join(terms)})(?![\p{{L}}\p{{N}}])"
+    read = docs.where(F.col(key).isNotNull()).select(key, F.regexp_count(low, F.lit(WORD)).alias("len"), F.regexp_extract_all(low, F.lit(one_of), 1).alias("_t"))
+    counted = materialize(read.select(key, "len", *(F.size(F.filter("_t", _equals(x))).alias(f"t{i}") for i, x in enumerate(terms))), "counted")
     s = counted.agg(F.count(F.lit(1)), F.avg("len"), *(F.count_if(F.col(f"t{i}") > 0) for i in range(len(terms)))).first()
     n, mean = s[0], s[1] or 1.0
     score = F.lit(0.0)
