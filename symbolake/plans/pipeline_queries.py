@@ -22,6 +22,9 @@ from symbolake.sources.store import SCHEMAS, GraphStore
 from symbolake.streaming import maintain as M
 
 
+ITEMS = "repo string, commit string, file_path string, change string"
+
+
 def _place(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -61,9 +64,10 @@ def streamed_changes(spark, d):
     at, out = f"{d}/change_sets.parquet", _place(spark, "stream-out")
     schema = spark.read.parquet(at).schema
     source = spark.readStream.schema(schema)
+    spark.createDataFrame([], ITEMS).write.parquet(out)
     items = M.stream_items(source.parquet(at) if os.path.isdir(at) else source.option("pathGlobFilter", "change_sets.parquet").parquet(d), "3650 days")
     M.maintain(items, _place(spark, "stream-state"), lambda new, _: new.write.mode("append").parquet(out), _place(spark, "stream-checkpoint")).awaitTermination()
-    return spark.read.schema("repo string, commit string, file_path string, change string").parquet(out)
+    return spark.read.schema(ITEMS).parquet(out)
 
 
 def offline_summaries(spark, d):

@@ -95,7 +95,8 @@ def bm25_indexed(spark, d):
 
 
 def _first_vector(spark, d) -> list[float]:
-    return [float(x) for x in table(spark, d, "embeddings").orderBy("vec_id").first().embedding]
+    row = table(spark, d, "embeddings").where("embedding is not null and vec_id is not null").orderBy("vec_id").first()
+    return [float(x) for x in row.embedding] if row else [0.0]
 
 
 def vector_topk(spark, d):
