@@ -146,6 +146,7 @@ def documented_functions(symbols: DataFrame, documents: DataFrame) -> DataFrame:
     fn = symbols.where(F.col("kind").isin("Function", "Method") & F.col("symbol_id").isNotNull()).select("symbol_id", "name", "signature", "docstring", "repo", "file_path", "descriptor")
     own = fn.where("docstring is not null").withColumn("description", _described("docstring", "name")).where("description is not null")
     bare = fn.where("docstring is null and repo is not null and file_path is not null").withColumn("tail", scope_tail(F.col("descriptor"), F.col("file_path")))
+    bare = bare.select("symbol_id", "name", "signature", "repo", "file_path", "tail").distinct()  # many lives of a symbol are one row
     read = bare.join(source_documentation(documents), ["repo", "file_path", "tail"])
     cols = ["symbol_id", "name", "signature", "description"]
     both = own.select(cols).unionByName(read.select(cols))

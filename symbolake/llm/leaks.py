@@ -90,6 +90,7 @@ class ItemIndex:
     owner: np.ndarray  # per place in flat: item
     weight: np.ndarray  # per token code: how few items have it
     heavy: np.ndarray  # per place in flat: the weight of its token
+    overlap: int  # characters that hold any stretch of an item, marks and blanks between its words included
 
 
 PAD = 48
@@ -128,7 +129,7 @@ def build_index(items: list[tuple]) -> ItemIndex:
         o = np.argsort(key, kind="stable")
         blocks.append((key[o], o))
     weights = [[float(weight[vocabulary[t]]) for t in x] for x in texts]
-    return ItemIndex(ids, words, texts, weights, vocabulary, hashes, flat_a, np.array(start), prints, blocks, first, places[order], owner_a, weight, heavy)
+    return ItemIndex(ids, words, texts, weights, vocabulary, hashes, flat_a, np.array(start), prints, blocks, first, places[order], owner_a, weight, heavy, 1000 + 4 * max((len(t) for _, t in items), default=0))
 
 
 def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,13 +278,24 @@ def _find(index, min_words: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix: ItemIndex = index.value
         for frame in frames:
-            size = frame["text"].str.len().cumsum() // CHARS
-            for _, f in frame.groupby(size, sort=True):
+            pieces = pd.DataFrame([(d, p) for d, t in zip(frame["doc_id"], frame["text"], strict=True) for p in _pieces(t, ix.overlap)], columns=["doc_id", "text"])
+            size = pieces["text"].str.len().cumsum() // CHARS
+            for _, f in pieces.groupby(size, sort=True):
                 yield _search(ix, f, min_words)
 
     return run
 
 
+def _pieces(text: str, overlap: int) -> Iterator[str]:
+    """The text, if longer than CHARS in pieces that overlap by more than any leaked stretch takes."""
+    most = max(CHARS, 4 * overlap)
+    if len(text) <= most:
+        yield text
+        return
+    for start in range(0, len(text) - overlap, most - overlap):
+        yield text[start : start + most]
+
+
 def _search(ix: ItemIndex, f: pd.DataFrame, min_words: int) -> pd.DataFrame:
     """The leaks of some documents (doc_id, text)."""
     get = ix.vocabulary.get

@@ -43,6 +43,8 @@ MANGLED_BITS, MIN_NAMES = 6.0, 8
 TEMPLATE_FUNCTIONS, TEMPLATE_WORDS, TEMPLATE_CLASSES = 6, 3, 2
 #: A file is vendored if this share of its runs of two definitions occurs in another repository.
 COPIED_SHARE = 0.5
+#: Lines of a file whose definitions one window task orders.
+RUN_LINES = 100_000
 #: A file is data if this share of its characters is literal values, with this share of digits or hash characters in them.
 DATA_SHARE, DATA_DIGITS, DATA_LINES = 0.8, 0.25, 20
 
@@ -173,11 +175,14 @@ def name_signals(symbols: DataFrame) -> DataFrame:
 
 
 def copied_share(symbols: DataFrame) -> DataFrame:
-    """Per file with at least two definitions: the share of its runs of two that another repository has too."""
+    """Per file with at least two definitions: the share of its runs of two that another repository has too.
+
+    Runs end at every RUN_LINES lines, so a file of any length is ordered in pieces.
+    """
     sig = F.xxhash64("name", F.coalesce("signature", F.lit("")))
     rows = symbols.where((F.col("kind") != "File") & F.col("repo").isNotNull() & F.col("file_path").isNotNull())
     newest = rows.groupBy(*FILE, "descriptor").agg(F.max_by(F.struct("line_start", sig.alias("sig")), "ordinal").alias("s"))
-    order = Window.partitionBy(*FILE).orderBy("s.line_start", "descriptor")
+    order = Window.partitionBy(*FILE, F.floor(F.col("s.line_start") / RUN_LINES)).orderBy("s.line_start", "descriptor")
     run = newest.select(*FILE, F.xxhash64(F.col("s.sig"), F.lead("s.sig").over(order)).alias("run"), F.lead("s.sig").over(order).alias("next")).where("next is not null").select(*FILE, "run").distinct()
     where = run.groupBy("run").agg(F.min("repo").alias("a"), F.max("repo").alias("b"))
     shared = where.where("a != b").select("run", F.lit(1).alias("shared"))

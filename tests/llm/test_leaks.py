@@ -114,6 +114,15 @@ def test_very_long_text(spark):
     assert [tuple(r) for r in L.leaks(d, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()] == [(1, 5, 30)]
 
 
+def test_pieces_of_a_long_text_lose_nothing(spark, monkeypatch, cases):
+    items, docs, want = cases
+    monkeypatch.setattr(L, "CHARS", 3000)
+    long = "\n".join(t for _, t in docs)
+    assert len(list(L._pieces(long, 1500))) > 5 and "".join(p[1500 * (n > 0) :] for n, p in enumerate(L._pieces(long, 1500))) == long
+    d, i = spark.createDataFrame([(1, long)], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {r.item_id for r in L.leaks(d, i).collect()} == {i for _, i in want}
+
+
 def test_repetitive_text_in_small_blocks(spark, monkeypatch, cases):
     items, docs, want = cases
     monkeypatch.setattr(L, "SEEDS", 50)
