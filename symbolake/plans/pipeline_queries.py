@@ -94,7 +94,7 @@ _NODES = "nodes AS (SELECT * FROM symbols WHERE symbol_id IS NOT NULL QUALIFY ro
 _LISTS = """lists AS (SELECT repo, "commit", 'added' AS change, unnest(added) AS p FROM change_sets UNION ALL SELECT repo, "commit", 'modified', unnest(modified) FROM change_sets UNION ALL SELECT repo, "commit", 'deleted', unnest(deleted) FROM change_sets)"""
 SQL = {
     "extracted_files": """WITH t AS (SELECT repo, file_path, replace(replace(ltrim(min(text), chr(65279)), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents WHERE repo IS NOT NULL AND file_path IS NOT NULL AND text IS NOT NULL GROUP BY ALL)
-        SELECT repo, file_path, CASE WHEN regexp_matches(lower(file_path), '\\.pyi?$') THEN 'Python' WHEN regexp_matches(lower(file_path), '\\.tsx?$') THEN 'TypeScript' ELSE 'JavaScript' END AS language, len(string_split(text, chr(10))) AS line_end
+        SELECT repo, file_path, CASE WHEN regexp_matches(lower(file_path), '\\.pyi?$') THEN 'Python' WHEN regexp_matches(lower(file_path), '\\.tsx?$') THEN 'TypeScript' ELSE 'JavaScript' END AS language, len(string_split(text, chr(10)))::INT AS line_end
         FROM t WHERE regexp_matches(lower(file_path), '\\.(pyi?|tsx?|jsx?|mjs|cjs)$')""",
     "store_roundtrip": """SELECT 'symbols' AS name, 2 AS version, count(*) AS rows FROM symbols WHERE symbol_id IS NOT NULL UNION ALL SELECT 'edges', 2, count(*) FROM edges WHERE kind = 'Calls'
         UNION ALL SELECT 'edges', 1, count(*) FROM edges UNION ALL SELECT 'enrichment', 2, count(*) FROM enrichment UNION ALL SELECT 'flows', 2, 0""",
