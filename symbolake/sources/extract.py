@@ -12,10 +12,11 @@ import re
 from bisect import bisect_right
 from dataclasses import dataclass, field
 
+# The scheme of extracted ids, and what their descriptors end with by kind.
 SCHEME = "tsindex"
+SUFFIX = {"Class": "#", "Interface": "#", "Struct": "#", "Enum": "#", "Trait": "#", "Function": "().", "Method": "()."}
 # File extensions by language.
 EXTENSIONS = {"py": "Python", "pyi": "Python", "ts": "TypeScript", "tsx": "TypeScript", "js": "JavaScript", "jsx": "JavaScript", "mjs": "JavaScript", "cjs": "JavaScript"}
-SUFFIX = {"Class": "#", "Interface": "#", "Struct": "#", "Enum": "#", "Trait": "#", "Function": "().", "Method": "()."}
 CALLABLE = ("Function", "Method")
 
 
