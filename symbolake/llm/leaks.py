@@ -31,7 +31,7 @@ WINDOW, RADIUS, BLOCKS = 5, 2, ((0, 22), (22, 21), (43, 21))
 LEAK_WORDS, ONE_IN = 17, 8
 #: Tokens of evaluation texts handled in one pass over the documents; more items take more passes.
 PASS_TOKENS = 2_000_000
-_HIDDEN = dict.fromkeys([0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0xFEFF])
+_HIDDEN = dict.fromkeys([0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF])
 _TAGS = re.compile(r"</?(?:b|i|u|s|p|q|em|br|li|ul|ol|code|span|strong|mark|del|ins|sup|sub|blockquote|pre|div)\s*/?>")
 _TOKEN = re.compile(r"[^\W_]+")
 
