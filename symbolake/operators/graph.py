@@ -15,7 +15,7 @@ from symbolake.functions.text import est_tokens
 from symbolake.runtime import heavy_keys, materialize, salted
 
 #: Edges up to which a rank is computed by one numpy kernel; beyond, by a join loop.
-KERNEL_EDGES = 5_000_000
+KERNEL_EDGES = 1_000_000
 DAMPING, ITERATIONS = 0.85, 40
 DEPTH, BUDGET = 4, 1500
 NODE = ["symbol_id", "name", "kind", "package", "descriptor", "file_path", "line_start", "signature", "ordinal"]

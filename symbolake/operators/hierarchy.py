@@ -22,7 +22,7 @@ def parent_map(edges: DataFrame, parent: str, child: str) -> DataFrame:
     return edges.where(F.col(parent).isNotNull() & F.col(child).isNotNull()).groupBy(F.col(child).alias("node")).agg(F.min(parent).alias("parent"))
 
 
-#: With no more inner nodes left than this, the last levels are walked inside one task instead of one job each.
+#: With no more rows in the frontier and inner nodes left than this, the last levels are walked inside one task instead of one job each.
 REST_ROWS = 100_000
 _NODE = "node string, root string, depth long, path array<string>"
 
@@ -67,7 +67,7 @@ def hierarchy(edges: DataFrame, parent: str, child: str, paths: bool = True, res
         if 2 * gone >= left > 0:
             down, left = materialize(down.join(_union(seen, root), "node", "left_anti"), "down"), left - gone
             seen, gone = [], 0
-        if 0 < left - gone <= rest_rows:
+        if left > gone and n + left - gone <= rest_rows:
             top = frontier.withColumn("parent", F.lit(None).cast("string"))
             under = down if not seen else down.join(_union(seen, root), "node", "left_anti")
             both = top.unionByName(under, allowMissingColumns=True).select("node", "parent", "root", "depth", "path")
