@@ -47,6 +47,8 @@ COPIED_SHARE = 0.5
 RUN_LINES = 100_000
 #: A file is data if this share of its characters is literal values, with this share of digits or hash characters in them.
 DATA_SHARE, DATA_DIGITS, DATA_LINES = 0.8, 0.25, 20
+#: A file without document is data if it has so many lines outside definitions; imports and small tables take fewer.
+UNREAD_LINES = 32
 
 
 def _trigrams(names: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -210,7 +212,7 @@ def machine_files(symbols: DataFrame, documents: DataFrame) -> DataFrame:
     yes = lambda c: F.coalesce(c, F.lit(False))
     minified = (F.col("bits") > MANGLED_BITS) & (F.col("names") >= MIN_NAMES)
     template = (F.col("functions") >= TEMPLATE_FUNCTIONS) & (F.col("words") <= TEMPLATE_WORDS) & (F.col("owners") >= TEMPLATE_CLASSES) & F.col("same")
-    unread = F.col("read").isNull() & (F.col("lines") - F.col("inside") >= DATA_LINES) & (F.col("inside") <= (1 - DATA_SHARE) * F.col("lines"))
+    unread = F.col("read").isNull() & (F.col("lines") - F.col("inside") >= UNREAD_LINES) & (F.col("inside") <= (1 - DATA_SHARE) * F.col("lines"))
     reason = (
         F.when(yes(minified) | yes(F.col("packed")), "minified")
         .when(yes(template) | yes(F.col("tool")), "generated")
