@@ -23,7 +23,13 @@ def duck(sf_dir: str):
     return c
 
 
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def check(spark, sf_dir: str, query, sql: str) -> None:
-    got, want = query(spark, sf_dir).toPandas(), duck(sf_dir).execute(sql).fetch_df()
+    df = query(spark, sf_dir)
+    assert "CartesianProduct" not in plan_of(df) and "NestedLoopJoin" not in plan_of(df)
+    got, want = df.toPandas(), duck(sf_dir).execute(sql).fetch_df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows_of(got) == rows_of(want)
