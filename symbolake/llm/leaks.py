@@ -3,21 +3,18 @@
 Fingerprints and multi-index: SimHashes (64 bits, the bitwise majority of five word hashes) of the windows of five
 words of every item are indexed by three blocks of their bits; any two fingerprints at most two bits apart share a
 block, so a lookup by block finds every one within the radius. A passage of 17 words of which at most two differ has
-five words in a row untouched, so its window is found at distance 0. Candidates are aligned with the item and an
-item-sized stretch is verified exactly: its words in order, and the weight of those that are there, words that few
-items have weighing more.
+five words in a row untouched, so its window is found at distance 0. Candidates are those around whose window enough
+words of the item occur at all, a condition that every leak meets, and are decided by the number of words that differ
+in the best of all alignments. The weights of words play no part.
 """
 
 from __future__ import annotations
 
-import bisect
-import difflib
 import math
-import operator
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import numpy as np
 import pandas as pd
@@ -88,6 +85,10 @@ class ItemIndex:
     first: np.ndarray  # per fingerprint: its places are places[first[i]:first[i + 1]]
     places: np.ndarray
     owner: np.ndarray  # per place in flat: item
+    word_of: np.ndarray  # per place in flat: the number of its word in the item
+    wide: np.ndarray  # per place in flat: how many tokens its word has
+    low: np.ndarray  # per place in flat: the item's first token within SIDE words, and behind the last one
+    high: np.ndarray
     weight: np.ndarray  # per token code: how few items have it
     heavy: np.ndarray  # per place in flat: the weight of its token
     overlap: int  # characters that hold any stretch of an item, marks and blanks between its words included
@@ -101,6 +102,7 @@ def build_index(items: list[tuple]) -> ItemIndex:
     ids, words, texts, vocabulary, flat, start, owner = [], [], [], {}, [], [], []
     flat += [-2] * PAD
     owner += [-1] * PAD
+    word_of, wide, left, right = ([-1] * PAD for _ in range(4))
     for i, text in items:
         toks, at, n = word_tokens(text)
         if len(toks) < WINDOW:
@@ -108,6 +110,9 @@ def build_index(items: list[tuple]) -> ItemIndex:
         start.append(len(flat))
         flat += [vocabulary.setdefault(t, len(vocabulary)) for t in toks] + [-2] * PAD
         owner += [len(ids)] * len(toks) + [-1] * PAD
+        a = np.array(at)
+        for all_, own in ((word_of, a), (wide, np.bincount(a)[a]), (left, np.searchsorted(a, a - SIDE)), (right, np.searchsorted(a, a + SIDE + 1))):
+            all_ += [*own.tolist(), *[-1] * PAD]
         ids.append(i)
         words.append((at, n))
         texts.append(toks)
@@ -129,7 +134,7 @@ def build_index(items: list[tuple]) -> ItemIndex:
         o = np.argsort(key, kind="stable")
         blocks.append((key[o], o))
     weights = [[float(weight[vocabulary[t]]) for t in x] for x in texts]
-    return ItemIndex(ids, words, texts, weights, vocabulary, hashes, flat_a, np.array(start), prints, blocks, first, places[order], owner_a, weight, heavy, 1000 + 4 * max((len(t) for _, t in items), default=0))
+    return ItemIndex(ids, words, texts, weights, vocabulary, hashes, flat_a, np.array(start), prints, blocks, first, places[order], owner_a, *(np.array(x, dtype=np.int32) for x in (word_of, wide, left, right)), weight, heavy, 1000 + 4 * max((len(t) for _, t in items), default=0))
 
 
 def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,16 +157,17 @@ def near_prints(index: ItemIndex, fp: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return both // max(1, len(index.prints)), both % max(1, len(index.prints))
 
 
-#: In tokens: how far an aligned stretch is looked at to either side of a window, and by how much it may shift.
-SIDE, SHIFT = 20, 3
-#: Of LEAK_WORDS tokens around a window, at least so many are the item's, give or take the shift, with this share of the weight.
-NEAR, NEAR_WEIGHT = 13, 0.4
 #: Pairs of places that are looked at together, and characters of texts; both bound a task's memory.
 SEEDS, CHARS = 1_000_000, 8_000_000
-#: Of a leaked stretch's weight, at least this share is there; below it only common phrases agree.
-LEAK_WEIGHT = 0.4
 #: Tokens that more than one item in so many has are common and weigh next to nothing.
 COMMON = 8
+#: A leak of 40 words or more can be parted into two of which one is a leak too. So every leak holds one of at most SIDE words with at most EDITS
+#: differing; of LEAK_WORDS words in a row in it, at most DIFFER differ somewhere.
+DIFFER, EDITS, SIDE = 3, 5, 40
+#: Up to so many places to either side each token is compared by its place, beyond that only as one of a set.
+SHIFT = 100
+#: Size of the bit table of a document's tokens; tokens that share a place only let more candidates through.
+TABLE = 4096
 
 
 def candidates(index: ItemIndex, codes: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -203,74 +209,126 @@ def _near(index: ItemIndex, codes: np.ndarray, doc: np.ndarray, at: np.ndarray,
     head = np.ones(len(p), dtype=bool)
     head[1:] = (diagonal[1:] != diagonal[:-1]) | (p[1:] != p[:-1] + 1)
     p, q = p[head], q[head]
-    out = []
-    wide = np.arange(-SIDE, SIDE + WINDOW)
-    for s in range(0, len(p), 100_000):
-        ps, qs = p[s : s + 100_000, None], q[s : s + 100_000, None]
-        spot = ps + wide
-        mine = np.where((spot >= 0) & (spot < len(codes)), codes[np.clip(spot, 0, len(codes) - 1)], -1)
-        hit = np.zeros(mine.shape, dtype=bool)
-        for shift in range(-SHIFT, SHIFT + 1):
-            hit |= mine == index.flat[qs + wide + shift]
-        mass = hit * index.weight[np.maximum(mine, 0)] - NEAR_WEIGHT * index.heavy[qs + wide]
-        ok = ((_sums(hit.astype(np.float32)) >= NEAR) & (_sums(mass) >= 0)).any(axis=1)
-        item = index.owner[qs[ok, 0]]
-        out.append(np.stack([doc[ps[ok, 0]], item, ps[ok, 0], qs[ok, 0] - index.start[item]], axis=1))
-    return np.concatenate(out)
-
-
-def _sums(x: np.ndarray) -> np.ndarray:
-    """Sums of LEAK_WORDS neighbours in each row."""
-    total = np.cumsum(np.pad(x, ((0, 0), (1, 0))), axis=1)
-    return total[:, LEAK_WORDS:] - total[:, :-LEAK_WORDS]
-
-
-def leaked_words(item: list, item_words: list[int], item_end: int, text: list, text_words: list[int], text_end: int, weights: list[float], least: int = 1, ratio: int = ONE_IN) -> int:
+    item = index.owner[q]
+    return np.stack([doc[p], item, p, q - index.start[item]], axis=1)
+
+
+def _enough(index: ItemIndex, codes: np.ndarray, doc: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """The rows of `found` in whose document LEAK_WORDS words in a row of the item, but for DIFFER, occur anywhere."""
+    if not len(found):
+        return found
+    pairs, of = np.unique(found[:, 0] * len(index.ids) + found[:, 1], return_inverse=True)
+    d, item = pairs // len(index.ids), pairs % len(index.ids)
+    some, row = np.unique(d, return_inverse=True)
+    ok = np.zeros(len(pairs), dtype=bool)
+    ends = np.searchsorted(doc, some, "left"), np.searchsorted(doc, some, "right")
+    size = np.array([len(x) for x in index.texts])[item]
+    part = np.maximum(np.cumsum(size) // SEEDS, row // (16 * SEEDS // TABLE))
+    borders = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(pairs)]
+    for x, y in zip(borders, borders[1:], strict=False):
+        first = row[x]
+        table = np.zeros((row[y - 1] - first + 1, TABLE), dtype=bool)
+        which, place = _spread(ends[0][first : row[y - 1] + 1], ends[1][first : row[y - 1] + 1])
+        known = codes[place] >= 0
+        table[which[known], codes[place[known]] % TABLE] = True
+        which, place = _spread(index.start[item[x:y]], index.start[item[x:y]] + size[x:y])
+        gone = ~table[row[x:y][which] - first, index.flat[place] % TABLE]
+        count = np.array([index.words[i][1] for i in item[x:y]])
+        base = np.cumsum(count) - count
+        words = np.zeros(count.sum() + LEAK_WORDS, dtype=np.int32)
+        words[(base[which] + index.word_of[place])[gone]] = 1
+        total = np.concatenate([[0], np.cumsum(words)])
+        begin = np.arange(count.sum())
+        good = (total[begin + LEAK_WORDS] - total[begin] <= DIFFER) & (begin + LEAK_WORDS <= np.repeat(base + count, count))
+        ok[x:y] = np.bincount(np.repeat(np.arange(y - x), count)[good], minlength=y - x) > 0
+    return found[ok[of]]
+
+
+def _near_enough(index: ItemIndex, item: int, codes: np.ndarray, wide: np.ndarray, q: int, p: int) -> tuple[int, int, int, int] | None:
+    """If `_enough` holds of the words within SIDE words of token q of the item and the document's tokens about as far from its token p: the stretch of the item's and of the document's tokens to align.
+
+    `codes` has a -1 before and behind. `wide`: of each token of the document, how many its word has. EDITS words move the others by no more than their tokens.
+    """
+    start, count = index.start[item], index.words[item][1]
+    w, low, high = int(index.word_of[start + q]), int(index.low[start + q]), int(index.high[start + q])
+    first, last = max(0, w - SIDE), min(count, w + SIDE + 1)
+    if last - first < LEAK_WORDS:
+        return None
+    shift = EDITS * int(max(wide[max(0, p - 2 * (q - low)) : p + 2 * (high - q)].max(), index.wide[start + low : start + high].max()))
+    left, right = p - (q - low) - shift, p + (high - q) + shift
+    mine = index.flat[start + low : start + high]
+    if shift <= SHIFT:
+        there = codes.take(np.arange(left + 1, left + 1 + high - low)[:, None] + np.arange(2 * shift + 1), mode="clip")
+        gone = ~(there == mine[:, None]).any(axis=1)
+    else:
+        gone = ~np.isin(mine, codes[max(0, left) : right + 1])
+    words = np.zeros(last - first + 1, dtype=np.int32)
+    words[index.word_of[start + low : start + high][gone] - (first - 1)] = 1
+    total = words.cumsum()
+    if (total[LEAK_WORDS:] - total[:-LEAK_WORDS]).min() > DIFFER:
+        return None
+    return low, high, max(0, left), right
+
+
+def leaked_words(item: list, item_words: list[int], item_end: int, text: list, text_words: list[int], text_end: int, weights: list[float], least: int = 1, ratio: int = ONE_IN, most: int | None = None) -> int:
     """The length in words of the longest stretch of the item that `text` holds with at most one word in `ratio` differing.
 
-    0 if it has fewer than `least` words or the words that are there hold less than LEAK_WEIGHT of its weight.
-    `item_end`, `text_end`: one more than the number of the last word of either, words of marks included.
-    `weights`: of the item's tokens.
+    0 if it has fewer than `least` words. `item_end`, `text_end`: one more than the number of the last word of either,
+    words of marks included. `weights`, of the item's tokens, don't decide. With `most`, no
+    more words than that differ.
 
     A stretch begins and ends with a word that is there. Words of the item that are missing and words of the text put
-    in between differ; a word replaced by another differs once. Words without letters or digits never differ.
+    in between differ; a word replaced by another differs once. Words without letters or digits never differ. All
+    alignments are looked at: for each word that is there and each number of differing words, the earliest start.
     """
-    place = np.full(len(item), -1)
-    for a, b, n in difflib.SequenceMatcher(None, item, text, autojunk=False).get_matching_blocks():
-        place[a : a + n] = np.arange(b, b + n)
-    place = place.tolist()
-    words: dict[int, list[int]] = {}
-    for t, w in enumerate(item_words):
+    words: dict[int, list[str]] = {}
+    for t, w in zip(item, item_words, strict=True):
         words.setdefault(w, []).append(t)
-    mass = {w: sum(weights[t] for t in ts) for w, ts in words.items()}
-    # (word, its first and last token's place in the text) of each word that is wholly there
-    there = [(w, place[ts[0]], place[ts[-1]]) for w, ts in words.items() if all(place[t] >= 0 for t in ts)]
-    if not there:
-        return 0
-    order = {w: i for i, w in enumerate(words)}
-    best, n = 0, len(there)
-    # cost of each step between neighbours that are there
-    cost = [0]
-    for (w0, _, e0), (w1, s1, _) in zip(there, there[1:], strict=False):
-        missing = order[w1] - order[w0] - 1
-        between = {text_words[k] for k in range(e0 + 1, s1)} - {text_words[e0], text_words[s1]} if s1 > e0 else {0}
-        cost.append(max(missing, len(between)))
-    # Words of marks only at either end belong to the stretch if the text has such a word there too.
-    first, last = set(item_words), set(text_words)
-    before = [w - (w > 0 and w - 1 not in first and text_words[s] - 1 not in last and text_words[s] > text_words[0]) for w, s, _ in there]
-    after = [w + (w + 1 < item_end and w + 1 not in first and text_words[e] + 1 not in last and text_words[e] + 1 < text_end) for w, _, e in there]
-    # A stretch i..j of k words is good if ratio * (cost of its steps) <= k; `low` finds the first such i.
-    total, all_mass, own_mass = list(accumulate(cost)), [0.0], [0.0, *accumulate(mass[w] for w, _, _ in there)]
-    for w in words:
-        all_mass.append(all_mass[-1] + mass[w])
-    low = list(accumulate((before[k] - ratio * total[k] for k in range(n)), min))
-    for j in range(n):
-        i = bisect.bisect_left(low, -(after[j] + 1 - ratio * total[j]), key=operator.neg)
-        size = after[j] - before[i] + 1 if i <= j else 0
-        if size >= least and size > best:
-            whole = all_mass[order[there[j][0]] + 1] - all_mass[order[there[i][0]]]
-            if own_mass[j + 1] - own_mass[i] >= LEAK_WEIGHT * whole:
-                best = size
+    spots: dict[str, list[int]] = {}
+    for k, t in enumerate(text):
+        spots.setdefault(t, []).append(k)
+    rank = [0, *accumulate(int(a != b) for a, b in zip(text_words, text_words[1:], strict=False))] if text else []
+    inside, outside = set(item_words), set(text_words)
+    most = item_end // ratio if most is None else most
+    best = 0
+    # Of the last words of the item: (place of its end in the text, rank of that, earliest starts by differing words).
+    recent: list[list[tuple[int, int, list]]] = []
+    for w, ts in words.items():
+        now, since = [], [0] * len(recent)
+        for s in spots.get(ts[0], ()):
+            if len(ts) > 1 and text[s : s + len(ts)] != ts:
+                continue
+            e = s + len(ts) - 1
+            # Words of marks only at either end belong to the stretch if the text has such a word there too.
+            begin = w - (w > 0 and w - 1 not in inside and text_words[s] - 1 not in outside and text_words[s] > text_words[0])
+            end = w + (w + 1 < item_end and w + 1 not in inside and text_words[e] + 1 not in outside and text_words[e] + 1 < text_end)
+            # earliest starts by differing words, of those that a later end can still make a stretch
+            starts = {0: begin}
+            for missing, before in enumerate(recent):
+                k = since[missing]
+                while k < len(before) and rank[s] - before[k][1] - 1 > most:
+                    k += 1
+                since[missing] = k
+                for e0, rank0, starts0 in islice(before, k, None):
+                    if e0 >= s:
+                        break
+                    cost = max(missing, rank[s] - rank0 - 1)
+                    for c, b in starts0:
+                        c += cost
+                        if c <= most and ratio * c <= item_end - b and b < starts.get(c, begin + (c == 0)):
+                            starts[c] = b
+            kept, least_b = [], item_end + 1
+            for c in sorted(starts):
+                b = starts[c]
+                if b >= least_b:
+                    continue
+                least_b = b
+                kept.append((c, b))
+                size = end - b + 1
+                if size > best and size >= least and ratio * c <= size:
+                    best = size
+            now.append((e, rank[e], kept))
+        recent = [now, *recent[:most]]
     return best
 
 
@@ -306,22 +364,34 @@ def _search(ix: ItemIndex, f: pd.DataFrame, min_words: int) -> pd.DataFrame:
         codes += c
         codes.append(-1)
         doc.append(len(c) + 1)
-    found = candidates(ix, np.array(codes, dtype=np.int32), np.repeat(np.arange(len(doc)), doc))
+    codes, number = np.array(codes, dtype=np.int32), np.repeat(np.arange(len(doc)), doc)
+    found = _enough(ix, codes, number, candidates(ix, codes, number))
     seen: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for d, i, p, q in found.tolist():
         seen.setdefault((d, i), []).append((p - starts[d], q))
     split: dict[int, tuple] = {}
+    last, own = -1, None
     for (d, i), places in seen.items():
         if d not in split:
-            split[d] = word_tokens(f["text"].iloc[d])
-        toks, at, size = split[d]
-        best, upto, length = 0, -math.inf, len(ix.texts[i])
+            split[d] = *(t := word_tokens(f["text"].iloc[d])), np.bincount(t[1])[t[1]]
+        toks, at, size, wide = split[d]
+        own = np.concatenate([[-1], codes[starts[d] : starts[d] + len(toks)], [-1]]) if d != last else own
+        last = d
+        best, spans, length, (words, count) = 0, [], len(ix.texts[i]), ix.words[i]
         for p, q in sorted(places):
-            if p - q <= upto:
+            if not (spot := _near_enough(ix, i, own, wide, q, p)):
+                continue
+            a, b, x, y = spot
+            w, item, weights = words[a:b], ix.texts[i][a:b], ix.weights[i][a:b]
+            if any(low <= p - q and p - q + length <= high for low, high in spans):
+                continue
+            if not leaked_words(item, w, count, toks[x:y], at[x:y], size, weights, min_words, most=EDITS):
                 continue
-            # where the whole item would lie if it began at this place, and some more
-            low, high, upto = max(0, p - q - length // 4), max(0, p - q + length + length // 4), p - q + length // 8
-            best = max(best, leaked_words(ix.texts[i], *ix.words[i], toks[low:high], at[low:high], size, ix.weights[i], min_words))
+            # where the whole item would lie, as far as words put in between can move it
+            reach = count // ONE_IN * int(wide.max())
+            low, high = max(0, p - q - reach), p - q + length + reach
+            spans.append((low, high))
+            best = max(best, leaked_words(ix.texts[i], words, count, toks[low:high], at[low:high], size, ix.weights[i], min_words))
         if best:
             rows.append((f["doc_id"].iloc[d], ix.ids[i], best))
     return pd.DataFrame(rows, columns=["doc_id", "item_id", "words"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from symbolake.llm import leaks as L
 
@@ -131,3 +132,25 @@ def test_repetitive_text_in_small_blocks(spark, monkeypatch, cases):
     assert {(r.doc_id, r.item_id) for r in L.leaks(d, i).collect()} == want
     same = spark.createDataFrame([(1, "the same word again and " * 3000)], "doc_id long, text string")
     assert L.leaks(same, spark.createDataFrame([(1, "the same word again and " * 5), (2, "no such words in it at all")], "item_id long, text string")).count() == 1
+
+
+def _found(items, doc):
+    got = L._search(L.build_index(items), pd.DataFrame([(1, doc)], columns=["doc_id", "text"]), 17)
+    return list(zip(got["item_id"], got["words"], strict=True))
+
+
+@pytest.mark.parametrize("kind", ["weight", "tokens", "repeats", "three of 24"])
+def test_words_alone_decide(kind):
+    words = [f"q{i}x" for i in range(40)]
+    items = []
+    if kind == "weight":  # the two that differ are the only rare ones
+        words[10], words[16] = "rare", "seldom"
+        items = [(i, " ".join(f"q{k}x" for k in range(40))) for i in range(2, 40)]
+    elif kind == "tokens":  # two words of many tokens differ
+        words[10], words[16] = "a.b.c.d.e.f.g.h", "i.j.k.l.m.n.o.p"
+    elif kind == "repeats":  # the stretch's first word stands before it, too
+        words[1] = words[5]
+    cut = words[5:22] if kind != "three of 24" else words[5:29]
+    for k in (5, 11) if kind not in ("repeats", "three of 24") else (1, 7) if kind == "repeats" else (8, 11, 14):
+        cut[k] = f"zz{k}"
+    assert (1, len(cut)) in _found([(1, " ".join(words)), *items], f"some text before . {' '.join(cut)} . and text behind")
