@@ -15,6 +15,7 @@ from symbolake.operators import reports as R
 from symbolake.operators import retrieval as V
 from symbolake.operators import style as S
 from symbolake.operators.resolve import resolve
+from symbolake.plans.text_queries import search_text
 from symbolake.providers import complete_all
 from symbolake.runtime import materialize, shared_dir, table
 from symbolake.sources.repo_walk import parse
@@ -78,8 +79,7 @@ def offline_summaries(spark, d):
 
 
 def embedded_search_rows(spark, d):
-    nodes = G.node_set(table(spark, d, "symbols")).withColumn("docstring", F.lit(None).cast("string"))
-    v = V.embed(V.search_rows(nodes), "text")
+    v = V.embed(search_text(spark, d), "text")
     return v.select("symbol_id", F.size("vector").alias("width"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 3).alias("norm"))
 
 

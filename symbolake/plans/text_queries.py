@@ -119,7 +119,7 @@ def hybrid_rerank(spark, d):
 
 def hybrid_search(spark, d):
     nodes, edges = G.load_graph(spark, table(spark, d, "symbols"), table(spark, d, "edges"))
-    search = V.embed(V.search_rows(nodes.withColumn("docstring", F.lit(None).cast("string"))), "text")
+    search = V.embed(search_text(spark, d), "text")
     return V.hybrid(spark, search, nodes, G.dependents(edges), table(spark, d, "enrichment"), QUESTION).drop("score")
 
 
