@@ -32,9 +32,14 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p8_schedule(spark: SparkSession, d: str) -> DataFrame:
+    """The mix itself in order of service: every taken document with its pass."""
+    return mixing.interleaved(mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0])
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return reading.reading_levels(table(spark, d, "documents")).select("doc_id", "band").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_reasons, p6_found, p6_pairs, p7_found, p8_mix, p9_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_reasons, p6_found, p6_pairs, p7_found, p8_mix, p8_schedule, p9_found)}
 SQL: dict[str, str] = {}

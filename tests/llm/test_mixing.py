@@ -66,3 +66,14 @@ def test_nothing_to_mix(spark):
     assert mix.count() == 0 and report.first().tokens == 0
     mix, report = M.mixture(d, t.limit(0))
     assert mix.count() == 0 and report.count() == 0
+
+
+def test_schedule_is_the_whole_mix_in_order(spark, data):
+    from symbolake.llm import queries
+
+    rows = queries.QUERIES["p8_schedule"](spark, data).collect()
+    report = {r.source: r for r in queries.QUERIES["p8_mix"](spark, data).collect()}
+    assert [r.deadline for r in rows] == sorted(r.deadline for r in rows)
+    assert {s: sum(r.tokens for r in rows if r.source == s) for s in report} == {s: r.tokens for s, r in report.items()}
+    assert {s: sum(r.source == s for r in rows) for s in report} == {s: r.uses for s, r in report.items()}
+    assert len({(r.doc_id, r["pass"]) for r in rows}) == len(rows) > 0
