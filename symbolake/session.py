@@ -1,6 +1,6 @@
 """The engine's facade: build an index of source trees and ask it.
 
-`Session.tables` give DataFrames for further queries; the tool methods give plain dictionaries of bounded size.
+`Session.tables` give DataFrames for further queries; the tool methods give plain dictionaries, whole unless they have a limit.
 """
 
 from __future__ import annotations
@@ -23,11 +23,9 @@ from symbolake.sources import git, manifests
 from symbolake.sources.repo_walk import parse, read_trees
 from symbolake.sources.store import GraphStore
 
-HOPS = 2_000  # rows of a traversal that a tool returns; the DataFrame operators have no such limit
 
-
-def _rows(df: DataFrame, limit: int = HOPS) -> list[dict]:
-    return [r.asDict(recursive=True) for r in df.limit(limit).collect()]
+def _rows(df: DataFrame, limit: int | None = None) -> list[dict]:
+    return [r.asDict(recursive=True) for r in (df if limit is None else df.limit(limit)).collect()]
 
 
 class Session:
@@ -128,7 +126,7 @@ class Session:
             self._loaded = version, materialize(nodes, "nodes"), materialize(edges, "adjacency")
         return self._loaded[1:]
 
-    def _cards(self, nodes: DataFrame, limit: int = HOPS) -> list[dict]:
+    def _cards(self, nodes: DataFrame, limit: int | None = None) -> list[dict]:
         return _rows(R.with_enrichment(G.project_nodes(nodes), self.store.read("enrichment")), limit)
 
     def _focus(self, focus: str):
