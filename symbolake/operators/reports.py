@@ -110,9 +110,11 @@ def trace_text(hops: DataFrame) -> DataFrame:
     return hops.groupBy("origin").agg(F.array_join(F.transform(rows, lambda r: r.line), "\n").alias("trace"))
 
 
-def enrich_candidates(nodes: DataFrame, edges: DataFrame, limit: int, prior: DataFrame | None = None, stale: DataFrame | None = None) -> DataFrame:
-    """The definitions to summarise, by dependents, with `deps` and `reuse`: whether a prior row of a symbol that isn't stale can stay."""
-    top = dependents(edges, nodes.where(F.col("kind").isin(DEFINITIONS))).join(nodes, "symbol_id").orderBy(F.desc("deps"), "ordinal").limit(limit)
+def enrich_candidates(nodes: DataFrame, edges: DataFrame, limit: int | None, prior: DataFrame | None = None, stale: DataFrame | None = None) -> DataFrame:
+    """The definitions to summarise, all or the first `limit` by dependents, with `deps` and `reuse`: whether a prior row of a symbol that isn't stale can stay."""
+    top = dependents(edges, nodes.where(F.col("kind").isin(DEFINITIONS))).join(nodes, "symbol_id")
+    if limit is not None:
+        top = top.orderBy(F.desc("deps"), "ordinal").limit(limit)
     if prior is None:
         return top.withColumn("reuse", F.lit(False))
     kept = prior.select("symbol_id").distinct()

@@ -148,10 +148,16 @@ def suggest_questions(spark, d):
 
 
 def enrich_select(spark, d):
+    """A report of the 100 definitions with the most dependents; `enrich_all` gives all to summarise."""
     nodes, edges = _graph(spark, d)
     return R.enrich_candidates(nodes, edges, 100).select("symbol_id", "deps")
 
 
+def enrich_all(spark, d):
+    nodes, edges = _graph(spark, d)
+    return R.enrich_candidates(nodes, edges, None).select("symbol_id", "deps")
+
+
 def node_cards(spark, d):
     nodes = G.node_set(table(spark, d, "symbols"))
     return R.with_enrichment(G.project_nodes(nodes), table(spark, d, "enrichment")).select("symbol_id", "summary", F.array_join("queries", " | ").alias("queries"))
@@ -172,7 +178,7 @@ QUERIES = {
     for f in (
         nodes_dedup, symbols_last, edges_first, edges_attach, dangling_count, graph_counts, node_projection, token_estimate, repos_overview, lookup_focus, find_symbols, find_in_repo,
         dependents_count, most_depended, ripple_focus, ripple_by_repo, thread_focus, zoom_focus, ppr_top, context_pack_focus, flow_reach_top, kind_histogram, edge_summary, stats_by_repo,
-        cross_repo_targets, importer_repos, suggest_questions, enrich_select, node_cards, resolve_edges, resolve_stats,
+        cross_repo_targets, importer_repos, suggest_questions, enrich_select, enrich_all, node_cards, resolve_edges, resolve_stats,
     )
 }
 
@@ -259,6 +265,8 @@ SQL = {
         SELECT question, symbol, location, count(*) OVER () AS total FROM x ORDER BY symbol, question, ordinal LIMIT 40""",
     "enrich_select": f"""WITH {_GRAPH}, d AS (SELECT dst_id, count(*) AS deps FROM att WHERE kind IN ('Calls', 'Imports') GROUP BY 1)
         SELECT n.symbol_id, coalesce(d.deps, 0) AS deps FROM nodes n LEFT JOIN d ON d.dst_id = n.symbol_id WHERE n.kind IN ('Function', 'Method', 'Class', 'Interface', 'Struct', 'Enum') ORDER BY 2 DESC, n.ordinal LIMIT 100""",
+    "enrich_all": f"""WITH {_GRAPH}, d AS (SELECT dst_id, count(*) AS deps FROM att WHERE kind IN ('Calls', 'Imports') GROUP BY 1)
+        SELECT n.symbol_id, coalesce(d.deps, 0) AS deps FROM nodes n LEFT JOIN d ON d.dst_id = n.symbol_id WHERE n.kind IN ('Function', 'Method', 'Class', 'Interface', 'Struct', 'Enum')""",
     "node_cards": f"""WITH {_NODES}, e AS (SELECT * FROM enrichment QUALIFY row_number() OVER (PARTITION BY symbol_id ORDER BY ordinal DESC) = 1)
         SELECT n.symbol_id, e.summary, array_to_string(coalesce(e.queries, []), ' | ') AS queries FROM nodes n LEFT JOIN e ON e.symbol_id = n.symbol_id""",
     "resolve_edges": f"WITH {_NODES}, {_PROV} SELECT src_id, dst_id, kind, round(confidence::DOUBLE, 6) AS confidence, coalesce(src_package <> dst_package, false) AS cross_repo, count(*) AS n FROM bound GROUP BY ALL",

@@ -17,7 +17,7 @@ from symbolake.operators import style as S
 from symbolake.operators.resolve import resolve
 from symbolake.plans.text_queries import search_text
 from symbolake.providers import complete_all
-from symbolake.runtime import materialize, shared_dir, table
+from symbolake.runtime import shared_dir, table
 from symbolake.sources.repo_walk import parse
 from symbolake.sources.store import SCHEMAS, GraphStore
 from symbolake.streaming import maintain as M
@@ -72,9 +72,19 @@ def streamed_changes(spark, d):
 
 
 def offline_summaries(spark, d):
+    """A report of the 100 definitions with the most dependents; `all_summaries` is the operator."""
+    return _summaries(spark, d, 100)
+
+
+def all_summaries(spark, d):
+    """A summary of every definition."""
+    return _summaries(spark, d, None)
+
+
+def _summaries(spark, d, limit):
     nodes, edges = G.load_graph(spark, table(spark, d, "symbols"), table(spark, d, "edges"))
-    top = R.enrich_candidates(nodes, edges, 100).withColumn("prompt", F.concat_ws("\n", F.concat_ws(" ", "kind", "name"), "signature", "file_path"))
-    said = complete_all(materialize(top, "ask"), "symbol_id", "prompt", "summary").select("symbol_id", X.summary_reply("reply").alias("r"))
+    top = R.enrich_candidates(nodes, edges, limit).withColumn("prompt", F.concat_ws("\n", F.concat_ws(" ", "kind", "name"), "signature", "file_path")).select("symbol_id", "prompt")
+    said = complete_all(top, "symbol_id", "prompt", "summary").select("symbol_id", X.summary_reply("reply").alias("r"))
     return said.select("symbol_id", "r.summary", F.array_join("r.queries", "|").alias("queries"))
 
 
@@ -88,7 +98,7 @@ def changed_counts(spark, d):
     return I.status_counts(c)
 
 
-QUERIES = {f.__name__: f for f in (extracted_symbols, extracted_files, extract_and_resolve, store_roundtrip, streamed_changes, offline_summaries, embedded_search_rows, changed_counts)}
+QUERIES = {f.__name__: f for f in (extracted_symbols, extracted_files, extract_and_resolve, store_roundtrip, streamed_changes, offline_summaries, all_summaries, embedded_search_rows, changed_counts)}
 
 _NODES = "nodes AS (SELECT * FROM symbols WHERE symbol_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol_id ORDER BY ordinal) = 1)"
 _LISTS = """lists AS (SELECT repo, "commit", 'added' AS change, unnest(added) AS p FROM change_sets UNION ALL SELECT repo, "commit", 'modified', unnest(modified) FROM change_sets UNION ALL SELECT repo, "commit", 'deleted', unnest(deleted) FROM change_sets)"""
@@ -102,6 +112,8 @@ SQL = {
     "offline_summaries": f"""WITH {_NODES}, att AS (SELECT * FROM edges WHERE src_id IN (SELECT symbol_id FROM nodes) AND dst_id IN (SELECT symbol_id FROM nodes)), d AS (SELECT dst_id, count(*) AS deps FROM att WHERE kind IN ('Calls', 'Imports') GROUP BY 1),
         t AS (SELECT n.symbol_id, n.kind || ' ' || n.name AS x FROM nodes n LEFT JOIN d ON d.dst_id = n.symbol_id WHERE n.kind IN ('Function', 'Method', 'Class', 'Interface', 'Struct', 'Enum') ORDER BY coalesce(d.deps, 0) DESC, n.ordinal LIMIT 100)
         SELECT symbol_id, x AS summary, 'what is ' || x || '|where is ' || x || ' used|how does ' || x || ' work' AS queries FROM t""",
+    "all_summaries": f"""WITH {_NODES}, t AS (SELECT symbol_id, kind || ' ' || name AS x FROM nodes WHERE kind IN ('Function', 'Method', 'Class', 'Interface', 'Struct', 'Enum'))
+        SELECT symbol_id, x AS summary, 'what is ' || x || '|where is ' || x || ' used|how does ' || x || ' work' AS queries FROM t""",
     "embedded_search_rows": f"WITH {_NODES} SELECT symbol_id, 64 AS width, 1.0::DOUBLE AS norm FROM nodes WHERE kind <> 'File'",
     "changed_counts": f"""WITH {_LISTS} SELECT repo, change AS status, count(DISTINCT replace(p, '\\', '/')) AS n FROM lists WHERE p IS NOT NULL AND repo IS NOT NULL GROUP BY ALL""",
 }

@@ -93,7 +93,7 @@ class Session:
 
     def _enrich(self, nodes, edges, stale, limit) -> DataFrame:
         prior = self.store.read("enrichment")
-        top = R.enrich_candidates(nodes, edges, limit or 2**31 - 1, prior, stale)
+        top = R.enrich_candidates(nodes, edges, limit, prior, stale)
         ask = top.where(~F.col("reuse")).withColumn("prompt", F.concat_ws("\n", F.concat_ws(" ", "kind", "name"), "signature", "file_path"))
         said = complete_all(ask, "symbol_id", "prompt", "summary", self.provider).where("reply is not null").select("symbol_id", X.summary_reply("reply").alias("r")).select("symbol_id", "r.summary", "r.queries")
         return materialize(R.merge_enrichment(said, prior, top.where("reuse")), "enrichment").withColumn("ordinal", F.lit(0).cast("long"))
