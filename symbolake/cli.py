@@ -68,7 +68,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     try:
         if args.command in ("index", "link"):
             steps = {x: config.step(getattr(args, x), getattr(args, f"no_{x}"), conf.get(x)) for x in STEPS}
-            steps = config.gate_model_steps(steps, s.provider)
+            steps = config.gate_model_steps(steps, s.provider) | {x: None if (n := conf.get(x)) in (None, "") else int(n) for x in ("max_enrich", "max_flows")}
             done = s.link(args.roots, **steps) if args.command == "link" else s.index_incremental(args.root, args.since, **steps) if args.incremental else s.index(args.root, **steps)
             print(json.dumps(done))
         elif args.command == "serve":

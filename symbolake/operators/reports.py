@@ -97,10 +97,11 @@ def suggest(enrichment: DataFrame, nodes: DataFrame, about: str | None = None, l
     return hit.orderBy("symbol", "question", "ordinal").limit(limit).select("question", "symbol", "location", F.lit(total).cast("long").alias("total"))
 
 
-def flow_candidates(nodes: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
-    """(symbol_id, score): functions and methods outside penalised paths by how much they reach in four calls, if any."""
+def flow_candidates(nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
+    """(symbol_id, score): functions and methods outside penalised paths by how much they reach in four calls, if any; all or the first `limit`."""
     origin = nodes.where(F.col("kind").isin("Function", "Method") & (path_penalty("file_path") == 1.0)).select("symbol_id")
-    return reach(origin, edges, DEPTH).groupBy(F.col("origin").alias("symbol_id")).agg(F.count(F.lit(1)).alias("score")).orderBy(F.desc("score"), "symbol_id").limit(limit)
+    score = reach(origin, edges, DEPTH).groupBy(F.col("origin").alias("symbol_id")).agg(F.count(F.lit(1)).alias("score"))
+    return score if limit is None else score.orderBy(F.desc("score"), "symbol_id").limit(limit)
 
 
 def trace_text(hops: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ class Session:
 
     # ---- building
 
-    def link(self, roots: list[str], embed: bool = True, enrich: bool = False, flows: bool = False, guide: bool = False, max_enrich: int | None = None, max_flows: int = 20) -> dict:
+    def link(self, roots: list[str], embed: bool = True, enrich: bool = False, flows: bool = False, guide: bool = False, max_enrich: int | None = None, max_flows: int | None = None) -> dict:
         """Indexes the trees together and commits all tables at once; returns counts."""
         files = read_trees(self.spark, roots)
         symbols, raw = parse(files)
@@ -69,7 +69,7 @@ class Session:
         stale = I.stale_symbols(symbols, diff.select("repo", F.col("path").alias("file_path"), F.col("status").alias("change")), self.store.read("repo_meta"))
         return {"changed": change.total(), **self._finish(_after(kept, symbols), _after(edges, raw), _commit(root), files, stale=stale, roots=[root], **steps)}
 
-    def _finish(self, symbols, raw, commits, files, embed=True, enrich=False, flows=False, guide=False, max_enrich=None, max_flows=20, stale=None, roots=None) -> dict:
+    def _finish(self, symbols, raw, commits, files, embed=True, enrich=False, flows=False, guide=False, max_enrich=None, max_flows=None, stale=None, roots=None) -> dict:
         symbols, raw = materialize(symbols, "symbols"), materialize(raw, "raw")
         bound, stats = resolve(symbols, raw)
         order = raw.groupBy("src_id", "kind").agg(F.min("ordinal").alias("ordinal"))
@@ -93,7 +93,7 @@ class Session:
 
     def _enrich(self, nodes, edges, stale, limit) -> DataFrame:
         prior = self.store.read("enrichment")
-        top = R.enrich_candidates(nodes, edges, limit, prior, stale)
+        top = R.enrich_candidates(nodes, edges, limit or None, prior, stale)
         ask = top.where(~F.col("reuse")).withColumn("prompt", F.concat_ws("\n", F.concat_ws(" ", "kind", "name"), "signature", "file_path"))
         said = complete_all(ask, "symbol_id", "prompt", "summary", self.provider).where("reply is not null").select("symbol_id", X.summary_reply("reply").alias("r")).select("symbol_id", "r.summary", "r.queries")
         return materialize(R.merge_enrichment(said, prior, top.where("reuse")), "enrichment").withColumn("ordinal", F.lit(0).cast("long"))
