@@ -99,8 +99,8 @@ def marker_files(documents: DataFrame, limit: int = 4) -> DataFrame:
     return _top(m, ["repo", "section"], ["file_path"], limit)
 
 
-def docstring_style(documents: DataFrame, files: int = 400) -> DataFrame:
-    """(repo, google, numpy, rest, jsdoc, style) by votes of the first files; of equals the later style, null without votes."""
+def docstring_style(documents: DataFrame, files: int | None = None) -> DataFrame:
+    """(repo, google, numpy, rest, jsdoc, style) by votes of all files, or of the first `files` by path; of equals the later style, null without votes."""
     t = _top(texts(documents), ["repo"], ["file_path"], files)
     c = lambda x: F.contains("text", F.lit(x))
     v = t.groupBy("repo").agg(

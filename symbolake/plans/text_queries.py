@@ -153,6 +153,11 @@ def marker_files(spark, d):
 
 
 def docstyle_vote(spark, d):
+    """The vote of the first 400 files of a repo, as in the reference; `docstyle_all` counts all."""
+    return S.docstring_style(table(spark, d, "documents"), 400)
+
+
+def docstyle_all(spark, d):
     return S.docstring_style(table(spark, d, "documents"))
 
 
@@ -199,7 +204,7 @@ QUERIES = {
     for f in (
         split_identifier, query_keywords, symbol_query_flag, lexical_overlap, path_penalty, name_casing, descriptor_core, file_modules, id_parts, search_text, reply_parse, postings_df, doc_lengths,
         bm25_topk, bm25_indexed, vector_topk, rrf_fusion, hybrid_rerank, hybrid_search, import_histogram, layout_dirs, casing_vote, signature_samples, largest_classes, testfile_filter, marker_files,
-        docstyle_vote, guide_evidence, changeset_status, changeset_parse_drop, stale_symbols, incremental_merge, json_roundtrip,
+        docstyle_vote, docstyle_all, guide_evidence, changeset_status, changeset_parse_drop, stale_symbols, incremental_merge, json_roundtrip,
     )
 }
 
@@ -313,6 +318,10 @@ SQL = {
         v AS (SELECT repo, count(*) FILTER (contains(text, 'Args:') OR contains(text, 'Returns:')) AS google, count(*) FILTER (contains(text, 'Parameters' || chr(10))) AS numpy,
           count(*) FILTER (contains(text, ':param ')) AS rest, count(*) FILTER (contains(text, '@param') OR contains(text, '/**')) AS jsdoc FROM f GROUP BY 1)
         SELECT *, CASE greatest(google, numpy, rest, jsdoc) WHEN 0 THEN NULL WHEN jsdoc THEN 'JSDoc' WHEN rest THEN 'reST' WHEN numpy THEN 'NumPy' ELSE 'Google' END AS style FROM v""",
+    "docstyle_all": """WITH t AS (SELECT repo, file_path, min(text) AS text FROM documents WHERE repo IS NOT NULL AND file_path IS NOT NULL AND text IS NOT NULL GROUP BY ALL),
+        v AS (SELECT repo, count(*) FILTER (contains(text, 'Args:') OR contains(text, 'Returns:')) AS google, count(*) FILTER (contains(text, 'Parameters' || chr(10))) AS numpy,
+          count(*) FILTER (contains(text, ':param ')) AS rest, count(*) FILTER (contains(text, '@param') OR contains(text, '/**')) AS jsdoc FROM t GROUP BY 1)
+        SELECT *, CASE greatest(google, numpy, rest, jsdoc) WHEN 0 THEN NULL WHEN jsdoc THEN 'JSDoc' WHEN rest THEN 'reST' WHEN numpy THEN 'NumPy' ELSE 'Google' END AS style FROM v""",
     "changeset_status": f"WITH {_SNAP} SELECT * FROM diff",
     "changeset_parse_drop": f"""WITH {_SNAP} SELECT repo, path, status IN ('added', 'modified') AS to_parse, status IN ('modified', 'deleted') AS to_drop FROM diff""",
     "stale_symbols": f"""WITH {_NODES}, {_FILES} SELECT DISTINCT symbol_id FROM nodes n WHERE n.repo IS NULL OR n.repo NOT IN (SELECT repo FROM repo_meta WHERE lower(trim(status)) = 'ok' AND repo IS NOT NULL)
