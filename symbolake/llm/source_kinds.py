@@ -111,9 +111,29 @@ _CODE = re.compile(r"(?:^|\s)(?:def|class|function|return|import|from|if|for|whi
 _VALUE = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'|\d[\w.]*")
 
 
+_NOTE = re.compile(r"\s*(?:#|//|/\*|\*|--|<!--|\Z)|.*(?:\*/|-->)\s*\Z")
+
+
 def _head(text: str) -> str:
-    """The comments and constants a file begins with: its first 14 lines."""
-    return "\n".join(text.lstrip("﻿").replace("\r\n", "\n").split("\n", 14)[:14])
+    """The comments and constants a file begins and ends with: its first 14 lines, the whole of its leading comments, and its trailing comments."""
+    lines = text.lstrip("\ufeff").replace("\r\n", "\n").split("\n")
+    first, inside = 0, ""  # what ends the comment or string a line stands in
+    while first < len(lines):
+        s = lines[first].strip()
+        opened = next((m for m in ("/*", "<!--", '"""', "'''") if s.startswith(m)), "")
+        if inside:
+            inside = "" if inside in s else inside
+        elif opened:
+            end = {"/*": "*/", "<!--": "-->"}.get(opened, opened)
+            inside = "" if end in s[len(opened) :] else end
+        elif not _NOTE.match(s):
+            break
+        first += 1
+    first = max(first, 14) if not inside else 14  # an open comment is no head
+    last = len(lines)
+    while last > first and _NOTE.match(lines[last - 1]):
+        last -= 1
+    return "\n".join(lines[:first] + lines[last:])
 
 
 def data_share(text: str) -> tuple[float, float, int]:

@@ -1,0 +1,10 @@
+from symbolake.llm import source_kinds as K
+
+
+def test_statements_below_a_long_header_and_at_the_end():
+    licence = "".join(f"# line {i} of a licence\n" for i in range(40))
+    code = "".join(f"x{i} = call(y{i})\n" for i in range(40))
+    assert K._TOOL.search(K._head(f"{licence}# @generated\n{code}"))
+    assert K._ORIGIN.search(K._head("/*\n" + "licence\n" * 40 + " vendored from there\n*/\n" + code))
+    assert K._ORIGIN.search(K._head(f"{code}// vendored from there\n\n"))
+    assert not K._TOOL.search(K._head(f"{code}# @generated\n{code}"))
