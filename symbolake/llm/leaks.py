@@ -1,20 +1,17 @@
 """Evaluation texts that leak into documents (problem 7).
 
-Fingerprints and multi-index: SimHashes (64 bits, the bitwise majority of five word hashes) of the windows of five
-words of every item are indexed by three blocks of their bits; any two fingerprints at most two bits apart share a
-block, so a lookup by block finds every one within the radius. A passage of 17 words of which at most two differ has
-five words in a row untouched, so its window is found at distance 0. Candidates are those around whose window enough
-words of the item occur at all, a condition that every leak meets, and are decided by the number of words that differ
-in the best of all alignments. The weights of words play no part.
+A leak is a window of an item's size, LEAK_WORDS words, of which at most two differ (of longer ones, one word in ONE_IN).
+A window's fingerprint is made of BLOCKS SimHashes, one for each run of PART words in it. Two words that differ touch
+at most two of the three, so fingerprints within that radius share a block: the multi-index of the blocks finds all of
+them, wherever words left out or put in have moved the block. From each shared block the passage is grown to both
+sides, one differing word after another, which is exact: a passage with one word in ONE_IN differing is found, any
+other is not. Everything is done on arrays of token codes, for all documents of a batch at once.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import accumulate, islice
 
 import numpy as np
 import pandas as pd
@@ -22,121 +19,46 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a window, radius in bits, and the bit blocks of the multi-index (one more than the radius).
-WINDOW, RADIUS, BLOCKS = 5, 2, ((0, 22), (22, 21), (43, 21))
 #: A leak is at least so many successive words of an item, of which at most one in ONE_IN differs.
 LEAK_WORDS, ONE_IN = 17, 8
+#: A leak of 34 words or more can be parted into two of which one is a leak too, so a passage of up to 33 words is enough to find it; so many of those may differ.
+MOST = (2 * LEAK_WORDS - 1) // ONE_IN
+#: Words of a block; windows of LEAK_WORDS words hold BLOCKS of them, one more than words may differ there.
+PART, BLOCKS = 5, 3
 #: Tokens of evaluation texts handled in one pass over the documents; more items take more passes.
 PASS_TOKENS = 2_000_000
+#: Pairs of places that are looked at together, and characters of texts; both bound a task's memory.
+SEEDS, CHARS = 1_000_000, 8_000_000
 _HIDDEN = dict.fromkeys([0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF])
 _TAGS = re.compile(r"</?(?:b|i|u|s|p|q|em|br|li|ul|ol|code|span|strong|mark|del|ins|sup|sub|blockquote|pre|div)\s*/?>")
-_TOKEN = re.compile(r"[^\W_]+")
+_TOKEN = re.compile(r"[^\W_]+| ")
+_CUT = re.compile(r"\s(?![^<>]{0,20}>)")
+#: Codes of what is no token of an item: other tokens, blanks, and the border between items.
+OTHER, BLANK, PAD = -1, -3, -2
 
 
-def _plain(text: str) -> str:
+def tokens(text: str) -> list[str]:
+    """Runs of letters and digits in lower case, without invisible characters and emphasis tags, and a blank between words."""
     t = text.lower()
     if not t.isascii():
         t = t.translate(_HIDDEN)
-    return _TAGS.sub(" ", t) if "<" in t else t
-
-
-def tokens(text: str) -> list[str]:
-    """Runs of letters and digits in lower case, without invisible characters and emphasis tags."""
-    return _TOKEN.findall(_plain(text))
-
-
-def word_tokens(text: str) -> tuple[list[str], list[int], int]:
-    """The tokens, for each the number of the blank-separated word it is part of, and the number of words."""
-    out, at = [], []
-    words = _plain(text).split()
-    for i, w in enumerate(words):
-        for t in _TOKEN.findall(w):
-            out.append(t)
-            at.append(i)
-    return out, at, len(words)
-
-
-def _majority(h: np.ndarray) -> np.ndarray:
-    """SimHash of each five neighbours of `h`: bit by bit, whether at least three of five have it."""
-    a, b, c, d, e = (h[i : len(h) - WINDOW + 1 + i] for i in range(WINDOW))
+    if "<" in t:
+        t = _TAGS.sub(" ", t)
+    return _TOKEN.findall(" ".join(t.split()))
+
+
+def simhash(h: np.ndarray, k: int) -> np.ndarray:
+    """SimHash of each `k` neighbours of `h`, 1, 3 or 5: bit by bit, whether most of them have it."""
+    a, b, c, d, e = (h[i : len(h) - k + 1 + i] for i in (*range(k), *[0] * (5 - k)))
+    if k == 1:
+        return a
+    if k == 3:
+        return (a & b) | (c & (a | b))
     s1, c1 = a ^ b ^ c, (a & b) | (c & (a | b))  # full adder
     s2, c2 = s1 ^ d ^ e, (s1 & d) | (e & (s1 | d))
     return (c1 & c2) | ((c1 | c2) & s2)
 
 
-def _bits(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
-
-
-@dataclass
-class ItemIndex:
-    """The evaluation items in arrays: tokens, windows, fingerprints and their blocks."""
-
-    ids: list
-    words: list  # per item: its tokens' word numbers, and how many words there are
-    texts: list  # per item: its tokens
-    weights: list  # per item: the weights of its tokens
-    vocabulary: dict
-    hashes: np.ndarray
-    flat: np.ndarray  # token codes of all items, PAD between them
-    start: np.ndarray  # per item: first place in flat
-    prints: np.ndarray  # distinct fingerprints
-    blocks: list  # per block: (sorted keys, order)
-    first: np.ndarray  # per fingerprint: its places are places[first[i]:first[i + 1]]
-    places: np.ndarray
-    owner: np.ndarray  # per place in flat: item
-    word_of: np.ndarray  # per place in flat: the number of its word in the item
-    wide: np.ndarray  # per place in flat: how many tokens its word has
-    low: np.ndarray  # per place in flat: the item's first token within SIDE words, and behind the last one
-    high: np.ndarray
-    weight: np.ndarray  # per token code: how few items have it
-    heavy: np.ndarray  # per place in flat: the weight of its token
-    overlap: int  # characters that hold any stretch of an item, marks and blanks between its words included
-
-
-PAD = 48
-
-
-def build_index(items: list[tuple]) -> ItemIndex:
-    """Index of (id, text) items; items below a window's length can't leak and are left out."""
-    ids, words, texts, vocabulary, flat, start, owner = [], [], [], {}, [], [], []
-    flat += [-2] * PAD
-    owner += [-1] * PAD
-    word_of, wide, left, right = ([-1] * PAD for _ in range(4))
-    for i, text in items:
-        toks, at, n = word_tokens(text)
-        if len(toks) < WINDOW:
-            continue
-        start.append(len(flat))
-        flat += [vocabulary.setdefault(t, len(vocabulary)) for t in toks] + [-2] * PAD
-        owner += [len(ids)] * len(toks) + [-1] * PAD
-        a = np.array(at)
-        for all_, own in ((word_of, a), (wide, np.bincount(a)[a]), (left, np.searchsorted(a, a - SIDE)), (right, np.searchsorted(a, a + SIDE + 1))):
-            all_ += [*own.tolist(), *[-1] * PAD]
-        ids.append(i)
-        words.append((at, n))
-        texts.append(toks)
-    hashes = np.array([xxhash.xxh64_intdigest(t) for t in vocabulary], dtype=np.uint64) if vocabulary else np.zeros(1, np.uint64)
-    flat_a, owner_a = np.array(flat, dtype=np.int32), np.array(owner, dtype=np.int32)
-    fp = _majority(hashes[np.maximum(flat_a, 0)])
-    ok = (owner_a[: len(fp)] >= 0) & (owner_a[: len(fp)] == owner_a[WINDOW - 1 :])
-    places = np.flatnonzero(ok)
-    prints, inverse = np.unique(fp[places], return_inverse=True)
-    order = np.argsort(inverse, kind="stable")
-    first = np.searchsorted(inverse[order], np.arange(len(prints) + 1))
-    inside = owner_a >= 0
-    holders = np.unique(flat_a[inside].astype(np.int64) * (len(ids) + 1) + owner_a[inside]) // (len(ids) + 1)
-    weight = np.maximum(0.05, np.log((len(ids) + 1) / COMMON / np.maximum(1, np.bincount(holders, minlength=max(1, len(vocabulary)))))).astype(np.float32)
-    heavy = np.where(inside, weight[np.maximum(flat_a, 0)], 0).astype(np.float32)
-    blocks = []
-    for low, size in BLOCKS:
-        key = (prints >> np.uint64(low)) & np.uint64((1 << size) - 1)
-        o = np.argsort(key, kind="stable")
-        blocks.append((key[o], o))
-    weights = [[float(weight[vocabulary[t]]) for t in x] for x in texts]
-    return ItemIndex(ids, words, texts, weights, vocabulary, hashes, flat_a, np.array(start), prints, blocks, first, places[order], owner_a, *(np.array(x, dtype=np.int32) for x in (word_of, wide, left, right)), weight, heavy, 1000 + 4 * max((len(t) for _, t in items), default=0))
-
-
 def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For ranges low..high: the number of the range and the place of each element."""
     n = high - low
@@ -144,266 +66,261 @@ def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
 
 
-def near_prints(index: ItemIndex, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (i, j) of `fp[i]` and the index's fingerprint j at most RADIUS bits apart."""
-    pairs = []
-    for (low, size), (keys, order) in zip(BLOCKS, index.blocks, strict=True):
-        key = (fp >> np.uint64(low)) & np.uint64((1 << size) - 1)
-        i, place = _spread(np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right"))
-        j = order[place]
-        ok = _bits(fp[i] ^ index.prints[j]) <= RADIUS
-        pairs.append(i[ok] * len(index.prints) + j[ok])
-    both = np.unique(np.concatenate(pairs))
-    return both // max(1, len(index.prints)), both % max(1, len(index.prints))
-
+def _side(codes: np.ndarray, word: np.ndarray, border: int) -> dict:
+    """Of a row of texts: codes, number of the word, first place of the word, first place of the next, and whether words of marks follow.
 
-#: Pairs of places that are looked at together, and characters of texts; both bound a task's memory.
-SEEDS, CHARS = 1_000_000, 8_000_000
-#: Tokens that more than one item in so many has are common and weigh next to nothing.
-COMMON = 8
-#: A leak of 40 words or more can be parted into two of which one is a leak too. So every leak holds one of at most SIDE words with at most EDITS
-#: differing; of LEAK_WORDS words in a row in it, at most DIFFER differ somewhere.
-DIFFER, EDITS, SIDE = 3, 5, 40
-#: Up to so many places to either side each token is compared by its place, beyond that only as one of a set.
-SHIFT = 100
-#: Size of the bit table of a document's tokens; tokens that share a place only let more candidates through.
-TABLE = 4096
-
-
-def candidates(index: ItemIndex, codes: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Rows (document number, item number, a token place in the codes, its place in the item) worth aligning; `codes` of all documents, -1 between them."""
-    none = np.zeros((0, 4), dtype=np.int64)
-    if len(codes) < WINDOW or not len(index.prints):
-        return none
-    known = codes >= 0
-    full = known[WINDOW - 1 :].copy()
-    for i in range(WINDOW - 1):
-        full &= known[i : len(known) - WINDOW + 1 + i]
-    at = np.flatnonzero(full)
-    if not len(at):
-        return none
-    fp, inverse = np.unique(_majority(index.hashes[np.maximum(codes, 0)])[at], return_inverse=True)
-    i, j = near_prints(index, fp)
-    if not len(i):
-        return none
-    # Of each window: its fingerprint's pairs, and how many places of the items they name.
-    first = np.searchsorted(i, np.arange(len(fp) + 1))
-    load = np.concatenate([[0], np.cumsum(index.first[j + 1] - index.first[j])])
-    per_window = (load[first[1:]] - load[first[:-1]])[inverse]
-    at, inverse = at[per_window > 0], inverse[per_window > 0]
-    part = np.cumsum(per_window[per_window > 0]) // SEEDS
-    borders = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(at)]
-    out = [_near(index, codes, doc, at[x:y], inverse[x:y], first, j) for x, y in zip(borders, borders[1:], strict=False) if x < y]
-    return np.concatenate(out) if out else none
-
-
-def _near(index: ItemIndex, codes: np.ndarray, doc: np.ndarray, at: np.ndarray, print_of: np.ndarray, first: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """`candidates` of the windows at `at`."""
-    w, pair = _spread(first[print_of], first[print_of + 1])
-    k, place = _spread(index.first[j[pair]], index.first[j[pair] + 1])
-    p, q = at[w[k]], index.places[place]
-    # One seed for each unbroken run on a diagonal.
-    diagonal = p - q + len(index.flat)
-    o = np.lexsort((p, diagonal))
-    p, q, diagonal = p[o], q[o], diagonal[o]
-    head = np.ones(len(p), dtype=bool)
-    head[1:] = (diagonal[1:] != diagonal[:-1]) | (p[1:] != p[:-1] + 1)
-    p, q = p[head], q[head]
-    item = index.owner[q]
-    return np.stack([doc[p], item, p, q - index.start[item]], axis=1)
-
-
-def _enough(index: ItemIndex, codes: np.ndarray, doc: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """The rows of `found` in whose document LEAK_WORDS words in a row of the item, but for DIFFER, occur anywhere."""
-    if not len(found):
-        return found
-    pairs, of = np.unique(found[:, 0] * len(index.ids) + found[:, 1], return_inverse=True)
-    d, item = pairs // len(index.ids), pairs % len(index.ids)
-    some, row = np.unique(d, return_inverse=True)
-    ok = np.zeros(len(pairs), dtype=bool)
-    ends = np.searchsorted(doc, some, "left"), np.searchsorted(doc, some, "right")
-    size = np.array([len(x) for x in index.texts])[item]
-    part = np.maximum(np.cumsum(size) // SEEDS, row // (16 * SEEDS // TABLE))
-    borders = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(pairs)]
-    for x, y in zip(borders, borders[1:], strict=False):
-        first = row[x]
-        table = np.zeros((row[y - 1] - first + 1, TABLE), dtype=bool)
-        which, place = _spread(ends[0][first : row[y - 1] + 1], ends[1][first : row[y - 1] + 1])
-        known = codes[place] >= 0
-        table[which[known], codes[place[known]] % TABLE] = True
-        which, place = _spread(index.start[item[x:y]], index.start[item[x:y]] + size[x:y])
-        gone = ~table[row[x:y][which] - first, index.flat[place] % TABLE]
-        count = np.array([index.words[i][1] for i in item[x:y]])
-        base = np.cumsum(count) - count
-        words = np.zeros(count.sum() + LEAK_WORDS, dtype=np.int32)
-        words[(base[which] + index.word_of[place])[gone]] = 1
-        total = np.concatenate([[0], np.cumsum(words)])
-        begin = np.arange(count.sum())
-        good = (total[begin + LEAK_WORDS] - total[begin] <= DIFFER) & (begin + LEAK_WORDS <= np.repeat(base + count, count))
-        ok[x:y] = np.bincount(np.repeat(np.arange(y - x), count)[good], minlength=y - x) > 0
-    return found[ok[of]]
-
-
-def _near_enough(index: ItemIndex, item: int, codes: np.ndarray, wide: np.ndarray, q: int, p: int) -> tuple[int, int, int, int] | None:
-    """If `_enough` holds of the words within SIDE words of token q of the item and the document's tokens about as far from its token p: the stretch of the item's and of the document's tokens to align.
-
-    `codes` has a -1 before and behind. `wide`: of each token of the document, how many its word has. EDITS words move the others by no more than their tokens.
+    Every text has a border behind it, where reading stops; its number is that behind the text's last word.
     """
-    start, count = index.start[item], index.words[item][1]
-    w, low, high = int(index.word_of[start + q]), int(index.low[start + q]), int(index.high[start + q])
-    first, last = max(0, w - SIDE), min(count, w + SIDE + 1)
-    if last - first < LEAK_WORDS:
-        return None
-    shift = EDITS * int(max(wide[max(0, p - 2 * (q - low)) : p + 2 * (high - q)].max(), index.wide[start + low : start + high].max()))
-    left, right = p - (q - low) - shift, p + (high - q) + shift
-    mine = index.flat[start + low : start + high]
-    if shift <= SHIFT:
-        there = codes.take(np.arange(left + 1, left + 1 + high - low)[:, None] + np.arange(2 * shift + 1), mode="clip")
-        gone = ~(there == mine[:, None]).any(axis=1)
-    else:
-        gone = ~np.isin(mine, codes[max(0, left) : right + 1])
-    words = np.zeros(last - first + 1, dtype=np.int32)
-    words[index.word_of[start + low : start + high][gone] - (first - 1)] = 1
-    total = words.cumsum()
-    if (total[LEAK_WORDS:] - total[:-LEAK_WORDS]).min() > DIFFER:
-        return None
-    return low, high, max(0, left), right
-
-
-def leaked_words(item: list, item_words: list[int], item_end: int, text: list, text_words: list[int], text_end: int, weights: list[float], least: int = 1, ratio: int = ONE_IN, most: int | None = None) -> int:
-    """The length in words of the longest stretch of the item that `text` holds with at most one word in `ratio` differing.
-
-    0 if it has fewer than `least` words. `item_end`, `text_end`: one more than the number of the last word of either,
-    words of marks included. `weights`, of the item's tokens, don't decide. With `most`, no
-    more words than that differ.
-
-    A stretch begins and ends with a word that is there. Words of the item that are missing and words of the text put
-    in between differ; a word replaced by another differs once. Words without letters or digits never differ. All
-    alignments are looked at: for each word that is there and each number of differing words, the earliest start.
-    """
-    words: dict[int, list[str]] = {}
-    for t, w in zip(item, item_words, strict=True):
-        words.setdefault(w, []).append(t)
-    spots: dict[str, list[int]] = {}
-    for k, t in enumerate(text):
-        spots.setdefault(t, []).append(k)
-    rank = [0, *accumulate(int(a != b) for a, b in zip(text_words, text_words[1:], strict=False))] if text else []
-    inside, outside = set(item_words), set(text_words)
-    most = item_end // ratio if most is None else most
-    best = 0
-    # Of the last words of the item: (place of its end in the text, rank of that, earliest starts by differing words).
-    recent: list[list[tuple[int, int, list]]] = []
-    for w, ts in words.items():
-        now, since = [], [0] * len(recent)
-        for s in spots.get(ts[0], ()):
-            if len(ts) > 1 and text[s : s + len(ts)] != ts:
+    n = len(codes)
+    edge = codes == border
+    first = np.ones(n, dtype=bool)
+    first[1:] = (word[1:] != word[:-1]) | edge[1:] | edge[:-1]
+    at = np.arange(n)
+    follow = np.full(n, n - 1)
+    follow[:-1] = np.minimum.accumulate(np.where(first, at, n - 1)[::-1])[::-1][1:]
+    return {"codes": codes, "word": word, "own": np.maximum.accumulate(np.where(first, at, 0)), "next": np.where(edge, at, follow), "marks": ~edge & (word[follow] != word + 1)}
+
+
+def _sides(parts: list[np.ndarray], border: int) -> tuple[dict, dict, np.ndarray, np.ndarray]:
+    """Texts (codes with blanks) laid out in a row, read to the right and, mirrored, to the left; of each place the number of its text; the first place of each text."""
+    codes, words, count = [], [], []
+    for p in parts:
+        blank = p == BLANK
+        codes.append(p[~blank])
+        words.append(np.cumsum(blank)[~blank])
+        count.append(int(blank.sum()) + 1)
+    size = np.array([len(c) for c in codes], dtype=np.int64)
+    start = np.cumsum(size + 1) - size
+    n, total = int((size + 1).sum()) + 1, int(size.sum())
+    inside = np.repeat(start - np.cumsum(size) + size, size) + np.arange(total)
+    flat, word, owner = np.full(n, border, dtype=np.int32), np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
+    if total:
+        flat[inside], word[inside], owner[inside] = np.concatenate(codes), np.concatenate(words), np.repeat(np.arange(len(parts)), size)
+    behind, before = word, word.copy()
+    behind[start + size] = count
+    before[start - 1] = -1
+    return _side(flat, behind, border), _side(flat[::-1].copy(), -before[::-1], border), owner, start
+
+
+def _block_words(p: np.ndarray) -> int:
+    """Words in a row that no passage of the item can do without: PART, or fewer where words of marks only stand among its words. 0: the item is too short to leak."""
+    blank = p == BLANK
+    holds = np.zeros(int(blank.sum()) + 1, dtype=np.int64)
+    holds[np.cumsum(blank)[~blank]] = 1
+    total = np.concatenate([[0], np.cumsum(holds)])
+    least = PART
+    for size in range(LEAK_WORDS, min(2 * LEAK_WORDS, len(holds) + 1)):
+        differ = size // ONE_IN
+        have = int((total[size:] - total[:-size]).min())
+        least = min(least, -(-(have - differ) // (differ + 1)))
+    return 0 if len(holds) < LEAK_WORDS else max(1, least)
+
+
+def build_index(items: list[tuple]) -> dict:
+    """Index of (id, text) items in plain arrays; items below LEAK_WORDS words can't leak and are left out."""
+    vocabulary: dict = {" ": BLANK}
+    ids, parts, need = [], [], []
+    for i, text in items:
+        p = np.array([vocabulary.setdefault(t, len(vocabulary)) for t in tokens(text)], dtype=np.int32)
+        if (k := _block_words(p)) and (p != BLANK).any():
+            ids.append(i)
+            parts.append(p)
+            need.append(5 if k >= 5 else 3 if k >= 3 else 1)
+    hashes = np.array([xxhash.xxh64_intdigest(t) for t in vocabulary], dtype=np.uint64)
+    right, left, owner, _ = _sides(parts, PAD)
+    blocks = {}
+    need = np.array(need, dtype=np.int64)
+    for k in sorted(set(need.tolist())):
+        flat = right["codes"]
+        fp = simhash(hashes[np.maximum(flat, 0)], k) if len(flat) >= k else np.zeros(0, np.uint64)
+        ok = need[owner[: len(fp)]] == k
+        for j in range(k):
+            ok &= flat[j : len(fp) + j] != PAD
+        places = np.flatnonzero(ok)
+        prints, inverse = np.unique(fp[places], return_inverse=True)
+        order = np.argsort(inverse, kind="stable")
+        blocks[k] = (prints, np.searchsorted(inverse[order], np.arange(len(prints) + 1)), places[order])
+    return {"ids": ids, "vocabulary": vocabulary, "hashes": hashes, "right": right, "left": left, "owner": owner, "blocks": blocks}
+
+
+def shared_blocks(ix: dict, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(k, p, q): every block of k tokens that the documents hold at p and the items at q, by lookup of its SimHash; of blocks that overlap on a line the first."""
+    for k, (prints, first, places) in ix["blocks"].items():
+        full = codes[: len(codes) - k + 1] >= 0
+        for j in range(1, k):
+            full &= codes[j : len(codes) - k + 1 + j] >= 0
+        at = np.flatnonzero(full)
+        if not len(at) or not len(prints):
+            continue
+        fp = simhash(ix["hashes"][np.maximum(codes, 0)], k)[at]
+        j = np.minimum(np.searchsorted(prints, fp), len(prints) - 1)
+        hit = prints[j] == fp
+        at, j = at[hit], j[hit]
+        part = np.cumsum(first[j + 1] - first[j]) // SEEDS
+        borders = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(at)]
+        for x, y in zip(borders, borders[1:], strict=False):
+            if x == y:
                 continue
-            e = s + len(ts) - 1
-            # Words of marks only at either end belong to the stretch if the text has such a word there too.
-            begin = w - (w > 0 and w - 1 not in inside and text_words[s] - 1 not in outside and text_words[s] > text_words[0])
-            end = w + (w + 1 < item_end and w + 1 not in inside and text_words[e] + 1 not in outside and text_words[e] + 1 < text_end)
-            # earliest starts by differing words, of those that a later end can still make a stretch
-            starts = {0: begin}
-            for missing, before in enumerate(recent):
-                k = since[missing]
-                while k < len(before) and rank[s] - before[k][1] - 1 > most:
-                    k += 1
-                since[missing] = k
-                for e0, rank0, starts0 in islice(before, k, None):
-                    if e0 >= s:
-                        break
-                    cost = max(missing, rank[s] - rank0 - 1)
-                    for c, b in starts0:
-                        c += cost
-                        if c <= most and ratio * c <= item_end - b and b < starts.get(c, begin + (c == 0)):
-                            starts[c] = b
-            kept, least_b = [], item_end + 1
-            for c in sorted(starts):
-                b = starts[c]
-                if b >= least_b:
-                    continue
-                least_b = b
-                kept.append((c, b))
-                size = end - b + 1
-                if size > best and size >= least and ratio * c <= size:
-                    best = size
-            now.append((e, rank[e], kept))
-        recent = [now, *recent[:most]]
-    return best
-
-
-def _find(index, min_words: int):
+            w, place = _spread(first[j[x:y]], first[j[x:y] + 1])
+            p, q = at[x:y][w], places[place]
+            same = np.ones(len(p), dtype=bool)
+            for d in range(k):
+                same &= codes[p + d] == ix["right"]["codes"][q + d]
+            p, q = p[same], q[same]
+            o = np.lexsort((p, p - q))
+            p, q = p[o], q[o]
+            head = np.ones(len(p), dtype=bool)
+            head[1:] = (np.diff(p - q) != 0) | (np.diff(p) != 1)
+            yield k, p[head], q[head]
+
+
+def _slide(a: dict, b: dict, i: np.ndarray, s: np.ndarray, last: np.ndarray) -> tuple:
+    """From places i of the items and s of the documents on as far as they agree, by whole words of the items; `last` is the last word that does, one more if a word of marks follows on both sides."""
+    at, to = i.copy(), s.copy()
+    live = np.flatnonzero(a["codes"][at] == b["codes"][to])
+    while len(live):
+        at[live] += 1
+        to[live] += 1
+        live = live[a["codes"][at[live]] == b["codes"][to[live]]]
+    back = at - a["own"][at]
+    at, to = at - back, to - back
+    moved = at > i
+    end = np.where(moved, a["word"][at - 1] + (a["marks"][at - 1] & b["marks"][to - 1]), last)
+    return at, to, end
+
+
+class _Front:
+    """How far each seed's passage reaches to one side, with 0, 1, 2, ... differing words."""
+
+    def __init__(self, a: dict, b: dict, i: np.ndarray, s: np.ndarray):
+        self.a, self.b, self.n = a, b, len(i)
+        self.seed = np.arange(len(i))
+        self.i, self.s, self.last = _slide(a, b, i, s, np.full(len(i), -(1 << 30)))
+        self.sure, self.maybe = [self.last.copy()], [a["word"][self.i] - 1]
+
+    def keep(self, which: np.ndarray) -> None:
+        """Goes on with some of the seeds only."""
+        at = np.full(self.n, -1)
+        at[which] = np.arange(len(which))
+        ok = at[self.seed] >= 0
+        self.seed, self.i, self.s, self.last, self.n = at[self.seed[ok]], self.i[ok], self.s[ok], self.last[ok], len(which)
+        self.sure, self.maybe = [x[which] for x in self.sure], [x[which] for x in self.maybe]
+
+    def grow(self) -> None:
+        """One more differing word: replaced, left out or put in."""
+        a, b = self.a["next"], self.b["next"]
+        i = np.concatenate([a[self.i], a[self.i], self.i])
+        s = np.concatenate([b[self.s], self.s, b[self.s]])
+        seed, last = np.tile(self.seed, 3), np.tile(self.last, 3)
+        self.i, self.s, self.last = _slide(self.a, self.b, i, s, last)
+        o = np.lexsort((-self.last, self.s, self.i, seed))
+        self.i, self.s, self.last, self.seed = self.i[o], self.s[o], self.last[o], seed[o]
+        new = np.ones(len(o), dtype=bool)
+        new[1:] = (np.diff(self.seed) != 0) | (np.diff(self.i) != 0) | (np.diff(self.s) != 0)
+        self.i, self.s, self.last, self.seed = self.i[new], self.s[new], self.last[new], self.seed[new]
+        sure, maybe = self.sure[-1].copy(), self.maybe[-1].copy()
+        np.maximum.at(sure, self.seed, self.last)
+        np.maximum.at(maybe, self.seed, self.a["word"][self.i] - 1)
+        self.sure.append(sure)
+        self.maybe.append(maybe)
+
+
+#: Words that agree around some block of every leak with so many differing words among them, at least: 17 words with two
+#: differing are gaps of 15 words in all, and so on; a gap and its larger neighbour then have 8, three gaps in a row 11.
+PAIR, TRIPLE = 8, 11
+
+
+def passages(ix: dict, docs: tuple, p: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the blocks at p and q: which belong to a leak, and the words of the longest passage that proves it."""
+    right, left = docs
+    n, m = len(ix["right"]["codes"]), len(right["codes"])
+    r = _Front(ix["right"], right, q, p)
+    l = _Front(ix["left"], left, n - 1 - (q + k - 1), m - 1 - (p + k - 1))  # noqa: E741
+    best, alive = np.zeros(len(q), dtype=np.int64), np.arange(len(q))
+    for differ in range(MOST + 1):
+        if differ:
+            r.grow()
+            l.grow()
+        for x in range(differ + 1):
+            size = (r.sure[x] + l.sure[differ - x] + 1).astype(np.int64)
+            good = (size >= LEAK_WORDS) & (ONE_IN * differ <= size)
+            best[alive[good]] = np.maximum(best[alive[good]], size[good])
+        bound = PAIR if differ == 1 else TRIPLE if differ == 2 else 0
+        reach = np.max([r.maybe[x] + l.maybe[differ - x] + 1 - differ for x in range(differ + 1)], axis=0)
+        stay = np.flatnonzero(reach >= bound)
+        if not len(stay):
+            break
+        if len(stay) < r.n:
+            alive = alive[stay]
+            r.keep(stay)
+            l.keep(stay)
+    hit = np.flatnonzero(best)
+    return hit, best[hit]
+
+
+def search(ix: dict, f: pd.DataFrame) -> pd.DataFrame:
+    """The leaks of some documents (doc_id, text)."""
+    get = ix["vocabulary"].get
+    parts = [np.array([get(t, OTHER) for t in tokens(text)], dtype=np.int32) for text in f["text"]]
+    right, left, owner, _ = _sides(parts, PAD - 2)
+    found = []
+    for k, p, q in shared_blocks(ix, right["codes"]):
+        hit, words = passages(ix, (right, left), p, q, k)
+        found.append(pd.DataFrame({"d": owner[p[hit]], "i": ix["owner"][q[hit]], "words": words}))
+    if not found:
+        return pd.DataFrame({"doc_id": [], "item_id": [], "words": []})
+    g = pd.concat(found).groupby(["d", "i"], as_index=False)["words"].max()
+    ids = f["doc_id"].to_numpy()
+    return pd.DataFrame({"doc_id": ids[g["d"]], "item_id": [ix["ids"][i] for i in g["i"]], "words": g["words"]})
+
+
+def widest(ix: dict) -> int:
+    """Words of a document that hold any passage of up to 33 words of an item, however they are spaced."""
+    inside = ix["right"]["codes"] != PAD
+    key = ix["owner"][inside].astype(np.int64) * (1 << 31) + ix["right"]["word"][inside]
+    return int((np.searchsorted(key, key + 2 * LEAK_WORDS) - np.arange(len(key))).max(initial=0)) + MOST
+
+
+def pieces(text: str, overlap: int) -> Iterator[str]:
+    """The text, if longer than CHARS cut between words into pieces, each with the last `overlap` words with a letter or digit of the one before."""
+    tail, at = "", 0
+    while at < len(text):
+        cut = _CUT.search(text, at + CHARS) if at + CHARS < len(text) else None
+        part = tail + text[at : cut.start() if cut else len(text)]
+        yield part
+        if not cut:
+            return
+        held = [m.start() for m in re.finditer(r"\S*[^\W_]\S*", part)]
+        tail, at = part[held[-overlap] :] if len(held) >= overlap else part, cut.start()
+
+
+def _find(index):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ix: ItemIndex = index.value
+        ix = index.value
+        overlap = widest(ix)
         for frame in frames:
-            pieces = pd.DataFrame([(d, p) for d, t in zip(frame["doc_id"], frame["text"], strict=True) for p in _pieces(t, ix.overlap)], columns=["doc_id", "text"])
-            size = pieces["text"].str.len().cumsum() // CHARS
-            for _, f in pieces.groupby(size, sort=True):
-                yield _search(ix, f, min_words)
+            rows, size = [], 0
+            for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
+                for piece in pieces(text, overlap):
+                    rows.append((doc, piece))
+                    size += len(piece)
+                    if size >= CHARS:
+                        yield search(ix, pd.DataFrame(rows, columns=["doc_id", "text"]))
+                        rows, size = [], 0
+            if rows:
+                yield search(ix, pd.DataFrame(rows, columns=["doc_id", "text"]))
 
     return run
 
 
-def _pieces(text: str, overlap: int) -> Iterator[str]:
-    """The text, if longer than CHARS in pieces that overlap by more than any leaked stretch takes."""
-    most = max(CHARS, 4 * overlap)
-    if len(text) <= most:
-        yield text
-        return
-    for start in range(0, len(text) - overlap, most - overlap):
-        yield text[start : start + most]
-
+def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """Problem 7: (doc_id, item_id, words) of every document holding at least LEAK_WORDS successive words of an item.
 
-def _search(ix: ItemIndex, f: pd.DataFrame, min_words: int) -> pd.DataFrame:
-    """The leaks of some documents (doc_id, text)."""
-    get = ix.vocabulary.get
-    codes, doc, starts, rows = [], [], [], []
-    for text in f["text"]:
-        c = [get(t, -1) for t in tokens(text)]
-        starts.append(len(codes))
-        codes += c
-        codes.append(-1)
-        doc.append(len(c) + 1)
-    codes, number = np.array(codes, dtype=np.int32), np.repeat(np.arange(len(doc)), doc)
-    found = _enough(ix, codes, number, candidates(ix, codes, number))
-    seen: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for d, i, p, q in found.tolist():
-        seen.setdefault((d, i), []).append((p - starts[d], q))
-    split: dict[int, tuple] = {}
-    last, own = -1, None
-    for (d, i), places in seen.items():
-        if d not in split:
-            split[d] = *(t := word_tokens(f["text"].iloc[d])), np.bincount(t[1])[t[1]]
-        toks, at, size, wide = split[d]
-        own = np.concatenate([[-1], codes[starts[d] : starts[d] + len(toks)], [-1]]) if d != last else own
-        last = d
-        best, spans, length, (words, count) = 0, [], len(ix.texts[i]), ix.words[i]
-        for p, q in sorted(places):
-            if not (spot := _near_enough(ix, i, own, wide, q, p)):
-                continue
-            a, b, x, y = spot
-            w, item, weights = words[a:b], ix.texts[i][a:b], ix.weights[i][a:b]
-            if any(low <= p - q and p - q + length <= high for low, high in spans):
-                continue
-            if not leaked_words(item, w, count, toks[x:y], at[x:y], size, weights, min_words, most=EDITS):
-                continue
-            # where the whole item would lie, as far as words put in between can move it
-            reach = count // ONE_IN * int(wide.max())
-            low, high = max(0, p - q - reach), p - q + length + reach
-            spans.append((low, high))
-            best = max(best, leaked_words(ix.texts[i], words, count, toks[low:high], at[low:high], size, ix.weights[i], min_words))
-        if best:
-            rows.append((f["doc_id"].iloc[d], ix.ids[i], best))
-    return pd.DataFrame(rows, columns=["doc_id", "item_id", "words"])
-
-
-def leaks(documents: DataFrame, items: DataFrame, min_words: int = LEAK_WORDS) -> DataFrame:
-    """Problem 7: (doc_id, item_id, words) of every document holding at least `min_words` successive words of an item.
-
-    Case, punctuation, spacing, invisible characters, line breaks and marks don't count; one word in eight may differ.
-    Null and blank texts, and items below five words, leak nothing. A repeated document or item id is reported once with its longest
-    stretch. The items are the stated query set: they are indexed in blocks of at most PASS_TOKENS tokens, a pass over the
-    documents for each. Empty tables give no rows.
+    Case, punctuation, spacing, invisible characters, line breaks and marks don't count; one word in eight may differ: be
+    replaced, left out or put in. A passage begins and ends with a word that is there; words of marks only never differ.
+    words: of the longest passage with at most MOST differing words. Null and blank texts, and items below LEAK_WORDS
+    words, leak nothing. A repeated document or item id is reported once. The items are the stated query set: they are
+    indexed in blocks of at most PASS_TOKENS tokens, a pass over the documents for each. Empty tables give no rows.
     """
     spark = documents.sparkSession
     rows = ((r[0], r[1]) for r in items.where("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator())
@@ -411,8 +328,8 @@ def leaks(documents: DataFrame, items: DataFrame, min_words: int = LEAK_WORDS) -
     kind = documents.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     out = None
     for block in _blocks(rows):
-        index = spark.sparkContext.broadcast(build_index(block))
-        part = docs.mapInPandas(_find(index, min_words), f"doc_id {kind[0]}, item_id {kind[1]}, words int")
+        index = spark.sparkContext.broadcast(build_index(block))  # plain arrays: workers need no copy of this package
+        part = docs.mapInPandas(_find(index), f"doc_id {kind[0]}, item_id {kind[1]}, words int")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], f"doc_id {kind[0]}, item_id {kind[1]}, words int")
