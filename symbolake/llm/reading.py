@@ -1,17 +1,15 @@
 """Reading level of English prose documents (problem 9).
 
-A regularised ordinal regression (proportional odds) over features of length, lexical diversity, word rarity,
-connectives and clause depth. It is calibrated to a bounded sample of the documents, graded by the published
-Flesch-Kincaid grade formula. Word counts for rarity cover all documents.
+A regularised ordinal regression (proportional odds) over length, lexical diversity, word rarity, connectives and clause
+depth, calibrated to graded text: the passages of `graded_texts`, written to school grades. No readability formula takes
+part. Word counts for rarity cover all documents.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,16 +17,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from symbolake.llm.graded_texts import PASSAGES
+
 #: Documents are given a level from so many words outside code fences on.
 MIN_WORDS = 40
-#: At most so many documents, those with the smallest hash of their id, are graded for the calibration.
-FIT_ROWS = 4000
-#: Words are counted in so many buckets by hash, which bounds what is broadcast.
-BUCKETS = 1 << 16
+#: So many of the most frequent words are told apart by their counts, which bounds what is broadcast; all others are equally rare.
+KNOWN_WORDS = 200_000
+#: Distinct words a task holds before it sends their counts on.
+HELD_WORDS = 500_000
 #: US school grades up to which a band goes; none lies between the bands.
 BANDS = ("basic", "middle", "expert")
 EDGES = (6.0, 13.0)
-FEATURES = ("sentence_words", "word_syllables", "long_words", "word_chars", "diversity", "rarity", "connectives", "clauses")
+#: Of the average word: length of its sentence, its own length, share of different words in windows of SPAN, bits of rarity, share of connectives; and marks of clauses a sentence.
+FEATURES = ("sentence_words", "word_chars", "diversity", "rarity", "connectives", "clauses")
+SPAN = 40
 
 # Frequent function words by language.
 _STOPS = {
@@ -49,7 +51,6 @@ _ITEM = re.compile(r"(?m)^[ \t]*(?:[-*+>]|\d+[.)])[ \t]+")
 _SHORT = re.compile(r"\b(?:e\.g|i\.e|max|min|vs|cf|etc|approx|no|fig|dr|mr|mrs|z\.B|resp)\.", re.I)
 _END = re.compile(r"[.!?]+(?=[\s\"')\]]|$)|\n\s*\n|\x00")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-_VOWELS = re.compile(r"[aeiouyàâäéèêëíîïóôöúùûü]+")
 
 
 def prose(text: str) -> str:
@@ -58,13 +59,6 @@ def prose(text: str) -> str:
     return _FENCE.sub(" ", t) if "```" in t or "~~~" in t else t
 
 
-@lru_cache(1 << 16)
-def syllables(word: str) -> int:
-    """Vowel groups of a lower-case word, without a silent final e; at least one."""
-    n = len(_VOWELS.findall(word))
-    return max(1, n - (n > 1 and word[-1] == "e" and not word.endswith("le")))
-
-
 def sentences(text: str) -> list[list[str]]:
     """Lower-case words of each sentence of prose; list items are sentences, headings and inline code are left out."""
     t = _INLINE.sub(" ", _TAG.sub(" ", _HEAD.sub("\n\n", text)))
@@ -81,53 +75,45 @@ def language(words: list[str]) -> str:
     return best if score[best] * 20 >= max(1, len(words)) else ""
 
 
-def grade(sents: list[list[str]]) -> float:
-    """Flesch-Kincaid grade."""
-    words = sum(map(len, sents))
-    return 0.39 * words / len(sents) + 11.8 * sum(syllables(w) for s in sents for w in s) / words - 15.59
-
-
-def features(text: str, sents: list[list[str]], rarity) -> list[float]:
-    """The FEATURES of a document; `rarity` gives bits per word."""
+def features(text: str, sents: list[list[str]], bits: dict, rare: float) -> list[float]:
+    """The FEATURES of a document; `bits` of the frequent words, `rare` of all others."""
     words = [w for s in sents for w in s]
-    n, syl = len(words), [syllables(w) for w in words]
-    span = 50
-    windows = [words[i : i + span] for i in range(0, max(1, n - span + 1), span)]
+    n = len(words)
+    windows = [words[i : i + SPAN] for i in range(0, max(1, n - SPAN + 1), SPAN)]
+    joins = sum(map(_CONNECTIVES.__contains__, words))
     return [
-        n / len(sents), sum(syl) / n, sum(s >= 3 for s in syl) / n, sum(map(len, words)) / n,
-        sum(len(set(w)) / len(w) for w in windows) / len(windows), sum(rarity(w) for w in words) / n,
-        sum(w in _CONNECTIVES for w in words) / n, (text.count(",") + text.count(";") + sum(w in _CONNECTIVES for w in words)) / len(sents),
+        n / len(sents), sum(map(len, words)) / n, sum(len(set(w)) / len(w) for w in windows) / len(windows), sum(bits.get(w, rare) for w in words) / n,
+        joins / n, (text.count(",") + text.count(";") + joins) / len(sents),
     ]
 
 
-@lru_cache(1 << 16)
-def _bucket(word: str) -> int:
-    return zlib.crc32(word.encode()) % BUCKETS
-
-
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BUCKETS, dtype=np.int64)
+    have: Counter = Counter()
+    out = lambda: pa.RecordBatch.from_arrays([pa.array(have.keys(), pa.string()), pa.array(have.values(), pa.int64())], names=["word", "n"])
     for b in batches:
-        have: Counter = Counter()
         for text in b.column(0).to_pylist():
             have.update(_WORD.findall(prose(text).lower()))
-        np.add.at(total, [_bucket(w) for w in have], list(have.values()))
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["b", "n"])
+            if len(have) >= HELD_WORDS:
+                yield out()
+                have.clear()
+    yield out()
 
 
-def word_bits(docs: DataFrame) -> np.ndarray:
-    """Bits of a word by bucket, from counts over all of `docs`."""
-    got = docs.select("text").mapInArrow(_count_words, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
-    n = np.ones(BUCKETS)
-    n[np.asarray(got.column("b"))] += np.asarray(got.column("n"))
-    return np.log2(n.sum()) - np.log2(n)
+def word_bits(docs: DataFrame) -> tuple[dict, float]:
+    """Bits of each of the KNOWN_WORDS most frequent words, and of any other, from counts over all of `docs` and the graded passages."""
+    here = Counter(w for _, text in PASSAGES for w in _WORD.findall(text.lower()))
+    counts = docs.select("text").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).toArrow()
+    n = Counter(dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True)))
+    n.update(here)
+    total = sum(n.values())
+    least = min(n.values()) if len(n) > KNOWN_WORDS else 1
+    return {w: float(np.log2(total / c)) for w, c in n.items()}, float(np.log2(total / least))
 
 
-def _featurise(bits, graded: bool):
+def _featurise(words):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = bits.value.tolist()
-        rarity = lambda w: table[_bucket(w)]
+        bits, rare = words.value
         for f in frames:
             rows = []
             for doc, text in zip(f["doc_id"], f["text"], strict=True):
@@ -135,52 +121,44 @@ def _featurise(bits, graded: bool):
                 if sum(1 for w in body.split() if any(map(str.isalnum, w))) < MIN_WORDS:
                     continue
                 sents = sentences(body)
-                words = [w for s in sents for w in s]
-                if len(words) >= MIN_WORDS // 2 and language(words) == "en":
-                    rows.append((doc, *features(body, sents, rarity), grade(sents) if graded else 0.0))
-            yield pd.DataFrame(rows, columns=["doc_id", *FEATURES, "grade"])
+                said = [w for s in sents for w in s]
+                if len(said) >= MIN_WORDS // 2 and language(said) == "en":
+                    rows.append((doc, *features(body, sents, bits, rare)))
+            yield pd.DataFrame(rows, columns=["doc_id", *FEATURES])
 
     return run
 
 
-def fit_ordinal(x: np.ndarray, band: np.ndarray, ridge: float = 1e-3, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and two cut points of a proportional-odds model on standardised `x`, by gradient steps of adapted size on its ridge-penalised likelihood."""
-    n, k = x.shape
-    w, cut = np.zeros(k), np.array([-1.0, 1.0])
-    rate, m, v = 0.1, np.zeros(k + 2), np.zeros(k + 2)
+def fit_ordinal(x: np.ndarray, level: np.ndarray, ridge: float = 1e-3, steps: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and cut points (one less than levels, rising) of a proportional-odds model on standardised `x`, by gradient steps of adapted size on its ridge-penalised likelihood. `level`: 0, 1, 2, ..., each at least once."""
+    (n, k), cuts = x.shape, int(level.max())
+    w, cut = np.zeros(k), np.linspace(-1.0, 1.0, cuts)
+    m, v = np.zeros(k + cuts), np.zeros(k + cuts)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -35, 35)))
-    for t in range(1, 10 * steps + 1):
-        z = x @ w
-        upper = np.where(band == 0, cut[0], np.where(band == 1, cut[1], np.inf))
-        lower = np.where(band == 0, -np.inf, np.where(band == 1, cut[0], cut[1]))
-        fu, fl = sig(upper - z), sig(lower - z)
+    for t in range(1, steps + 1):
+        z, edge = x @ w, np.concatenate([[-np.inf], np.sort(cut), [np.inf]])
+        fu, fl = sig(edge[level + 1] - z), sig(edge[level] - z)
         p = np.maximum(fu - fl, 1e-12)
         du, dl = fu * (1 - fu) / p, fl * (1 - fl) / p
-        gz = -(du - dl)
-        g = np.concatenate([x.T @ gz / n - ridge * w, [np.sum(np.where(band == 0, du, 0) - np.where(band == 1, dl, 0)) / n, np.sum(np.where(band == 1, du, 0) - np.where(band == 2, dl, 0)) / n]])
+        of_cut = (np.bincount(level, weights=du, minlength=cuts + 1)[:cuts] - np.bincount(level, weights=dl, minlength=cuts + 1)[1:]) / n
+        g = np.concatenate([x.T @ (dl - du) / n - ridge * w, of_cut])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-        w, cut = w + step[:k], cut + step[k:]
-    if cut[0] > cut[1]:  # no middle band in the sample
-        cut[:] = cut.mean()
-    return w, cut
+        step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+        w, cut = w + step[:k], np.sort(cut) + step[k:]
+    return w, np.sort(cut)
 
 
 def _cases(documents: DataFrame) -> DataFrame:
     return documents.where("doc_id is not null and text is not null and file_path is null").select("doc_id", "text")
 
 
-def fit(documents: DataFrame, bits) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """(mean, scale, weights, cuts) calibrated on at most FIT_ROWS graded documents; None without any."""
-    sample = _cases(documents).where(F.length("text") >= 4 * MIN_WORDS).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
-    schema = "doc_id {}, {}, grade double".format(documents.schema["doc_id"].dataType.simpleString(), ", ".join(f"{c} double" for c in FEATURES))
-    got = sample.repartition(documents.sparkSession.sparkContext.defaultParallelism).mapInPandas(_featurise(bits, True), schema).toPandas().sort_values("doc_id")
-    if got.empty:
-        return None
-    x = got[list(FEATURES)].to_numpy()
+def fit(bits: dict, rare: float, use: tuple = FEATURES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, scale, weights, cuts between the bands) calibrated on the graded passages, each grade a level; features not in `use` get no weight."""
+    x = np.array([features(text, sentences(text), bits, rare) for _, text in PASSAGES])
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
-    band = np.digitize(got["grade"], EDGES)
-    return mean, scale, *fit_ordinal((x - mean) / scale, band)
+    grades, level = np.unique([g for g, _ in PASSAGES], return_inverse=True)
+    w, cut = fit_ordinal((x - mean) / scale * [f in use for f in FEATURES], level)
+    return mean, scale, w, cut[np.searchsorted(grades, EDGES) - 1]
 
 
 def band_column(model: tuple) -> Column:
@@ -198,11 +176,8 @@ def reading_levels(documents: DataFrame) -> DataFrame:
     Documents with null id or text, below MIN_WORDS words outside code fences, or in another language give no row; a
     repeated document gives one row each time. An empty table gives no rows.
     """
-    spark = documents.sparkSession
     cases = _cases(documents)
-    bits = spark.sparkContext.broadcast(word_bits(cases))
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, {', '.join(f'{c} double' for c in FEATURES)}, grade double"
-    model = fit(documents, bits)
-    out = cases.mapInPandas(_featurise(bits, False), schema).drop("grade")
-    return out.withColumn("band", band_column(model) if model else F.lit("middle")).select("doc_id", "band", *FEATURES)
+    bits, rare = word_bits(cases)
+    words = documents.sparkSession.sparkContext.broadcast((bits, rare))
+    schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, {', '.join(f'{c} double' for c in FEATURES)}"
+    return cases.mapInPandas(_featurise(words), schema).withColumn("band", band_column(fit(bits, rare))).select("doc_id", "band", *FEATURES)
