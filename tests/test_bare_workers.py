@@ -5,9 +5,9 @@ import pytest
 
 STAGES = {
     "symbolake.plans.data_ops": ["p1_found", "p2_found", "p4_found"],
-    "symbolake.plans.text_queries": ["embedded_search_rows", "hybrid_search"],
+    "symbolake.plans.text_queries": ["hybrid_search"],
     "symbolake.plans.graph_queries": ["ppr_top"],
-    "symbolake.plans.pipeline_queries": ["extract_and_resolve", "offline_summaries"],
+    "symbolake.plans.pipeline_queries": ["extract_and_resolve", "offline_summaries", "embedded_search_rows"],
 }
 
 
