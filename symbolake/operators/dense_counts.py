@@ -2,7 +2,7 @@
 
 Dense accumulator arrays: every input split dictionary-encodes its keys and adds its rows up with
 ``numpy.bincount`` into a dense array over its own dictionary. A split sends one row per distinct key, never one
-row per record, so the largest key costs as many rows as there are splits. The blocks of the global dictionary
+row per record, so the largest key costs no more rows than others. The blocks of the global dictionary
 (keys by hash) are then summed the same way, one dense array a block.
 """
 
@@ -65,18 +65,21 @@ def _count_split(batches: Iterator) -> Iterator:
 
 
 def _sum_block(batches: Iterator) -> Iterator:
-    """The rows of one block of the global dictionary -> the block's summed array."""
+    """The rows of one block of the global dictionary -> the block's summed array.
+
+    Rows are merged into the array when there are as many new ones as it has entries, so each costs a bounded share.
+    """
     import numpy as np
 
     parts: list = []
-    held = 0
+    entries = new = 0
     for b in batches:
         if b.num_rows:
             parts.append((b.column(0), np.stack([np.asarray(b.column(i)) for i in (1, 2, 3)], axis=1)))
-            held += b.num_rows
-            if held >= MAX_ENTRIES:
+            new += b.num_rows
+            if new >= max(MAX_ENTRIES, entries):
                 parts = [_merge(parts)]
-                held = len(parts[0][0]) // 2
+                entries, new = len(parts[0][0]), 0
     if parts:
         yield _rows(*_merge(parts))
 
@@ -85,7 +88,8 @@ def dense_counts(df: DataFrame, key: str, lane: str) -> DataFrame:
     """Rows of `df` per (`key`, boolean `lane`): columns `key`, `lane` (boolean) and `n` (long).
 
     Exact for any distribution: a null key and a null lane are values of their own, repeated rows count each time,
-    an empty table gives no rows, other columns are ignored. No task gets more rows of a key than there are splits.
+    an empty table gives no rows, other columns are ignored. A split sends a row of a key each time its dictionary
+    has grown to MAX_ENTRIES, so a task gets at most one row of a key for so many records, however they are spread.
     """
     kind = df.schema[key].dataType.simpleString()
     lanes = F.when(F.col(lane).isNull(), 2).when(F.col(lane), 1).otherwise(0).cast("int")
