@@ -1,8 +1,8 @@
 """References to records that do not exist, are gone or come later (problem 2).
 
 A Bloom filter of the parent keys, of bounded size, is broadcast. A reference the filter does not know is an orphan
-for certain and is never shuffled. The references it knows are verified by an exact anti join on key and time; keys
-that hold much of the references are salted.
+for certain and meets no parent. The references it knows are verified by an exact anti join on key and time; keys
+that hold much of the references are salted. References are read and tested once.
 """
 
 from __future__ import annotations
@@ -15,10 +15,12 @@ from pyspark.sql import types as T
 
 from symbolake.runtime import heavy_keys, salted
 
-#: Bits per parent key and probes of a key: about 1 % of unknown keys pass.
-BITS_PER_KEY, PROBES = 10, 4
-#: The filter never has more bits than this (16 MB). With more parents than fit, more references go to the exact join.
-MAX_BITS = 1 << 27
+#: Bits per parent key, of which ln 2 in so many are probed: about 1 % of unknown keys pass.
+BITS_PER_KEY = 10
+#: The filter never has more bits than this (64 MB). With more parents fewer bits are probed and more references go to the exact join.
+MAX_BITS = 1 << 29
+#: Over so many places the definite orphans are spread.
+SPREAD = 1 << 16
 
 
 def _hashes(key: str) -> tuple[Column, Column]:
@@ -26,13 +28,18 @@ def _hashes(key: str) -> tuple[Column, Column]:
     return F.shiftrightunsigned(F.xxhash64(F.col(key)), 2), F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(17)), 24)
 
 
-def bloom_words(parents: DataFrame, key: str, expected: int):
-    """The filter of `parents.key` as a numpy array of 64-bit words, built by a distributed bitwise-or."""
+def size(expected: int) -> tuple[int, int]:
+    """Bits of a filter of so many keys, a power of two, and the best number of probes."""
     bits = 1 << 12
     while bits < min(MAX_BITS, BITS_PER_KEY * max(1, expected)):
         bits <<= 1
+    return bits, max(1, min(7, round(0.69 * bits / max(1, expected))))
+
+
+def bloom_words(parents: DataFrame, key: str, bits: int, probes: int):
+    """The filter of `parents.key` as a numpy array of 64-bit words, built by a distributed bitwise-or."""
     start, step = _hashes(key)
-    at = F.explode(F.array(*((start + F.lit(i) * step) % F.lit(bits) for i in range(PROBES))))
+    at = F.explode(F.array(*((start + F.lit(i) * step) % F.lit(bits) for i in range(probes))))
     words = (
         parents.where(F.col(key).isNotNull()).select(at.alias("at"))
         .select(F.shiftrightunsigned("at", 6).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int")).alias("b"))
@@ -44,7 +51,7 @@ def bloom_words(parents: DataFrame, key: str, expected: int):
     return out
 
 
-def _may_contain(words) -> callable:
+def _may_contain(words, probes: int) -> callable:
     """A vectorised test of key hashes against the broadcast filter."""
     bits = len(words.value) * 64
 
@@ -52,7 +59,7 @@ def _may_contain(words) -> callable:
     def test(h1: pd.Series, h2: pd.Series) -> pd.Series:
         a, b = h1.to_numpy(), h2.to_numpy()
         ok = np.ones(len(a), dtype=bool)
-        for i in range(PROBES):
+        for i in range(probes):
             at = (a + i * b) % bits
             ok &= (words.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
         return pd.Series(ok)
@@ -69,21 +76,18 @@ def orphan_references(refs: DataFrame, lives: DataFrame, expected_parents: int |
     Repeated references each come out; with empty `lives` every reference with a key does.
     """
     spark = refs.sparkSession
-    n = expected_parents if expected_parents is not None else lives.count()
-    words = spark.sparkContext.broadcast(bloom_words(lives, "key", n))
-    known = _may_contain(words)(*_hashes("key"))
-    tested = refs.where(F.col("key").isNotNull()).withColumn("_known", known)
-    definite = tested.where(~F.col("_known")).drop("_known")
-    maybe = tested.where(F.col("_known")).drop("_known")
+    bits, probes = size(expected_parents if expected_parents is not None else lives.count())
+    words = spark.sparkContext.broadcast(bloom_words(lives, "key", bits, probes))
+    tested = refs.where(F.col("key").isNotNull()).withColumn("_known", _may_contain(words, probes)(*_hashes("key")))
     # One row a key and start, the longest: repeated lives vanish before they are joined.
     forever = F.lit("9999-12-31 00:00:00").cast("timestamp_ntz")
     spans = lives.where(F.col("key").isNotNull()).groupBy("key", "since").agg(F.max(F.coalesce(F.col("until"), forever)).alias("until"))
-    lhs, rhs, on = salted(maybe, spans, "key", heavy_keys(refs, "key"))
-    l, r = lhs.alias("l"), rhs.alias("r")
+    # Definite orphans pass through the join with no key, spread by a salt that no parent has.
+    lhs, rhs, on = salted(tested, spans, "key", heavy_keys(refs, "key"))
+    lhs = lhs.withColumn("_key", F.when(F.col("_known"), F.col("key"))).withColumn("_salt", F.when(F.col("_known"), F.col("_salt")).otherwise(-1 - (F.rand(11) * SPREAD).cast("int")))
+    l, r = lhs.alias("l"), rhs.withColumnRenamed("key", "_key").alias("r")
     hit = F.col("l.ts").isNull() | ((F.col("r.since") <= F.col("l.ts")) & (F.col("l.ts") < F.col("r.until")))
-    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on]
-    verified = l.join(r, same[0] & same[1] & hit, "left_anti").drop("_salt")
-    return definite.unionByName(verified)
+    return l.join(r, (F.col("l._key") == F.col("r._key")) & (F.col("l._salt") == F.col("r._salt")) & hit, "left_anti").drop("_salt", "_key", "_known")
 
 
 def graph_references(edges: DataFrame, enrichment: DataFrame) -> DataFrame:
