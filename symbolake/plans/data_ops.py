@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,12 +45,29 @@ def p4_paths(spark: SparkSession, d: str) -> DataFrame:
     return h.select(F.col("node").alias("node_id"), F.array_join("path", " > ").alias("path"))
 
 
+def _kept(spark: SparkSession, name: str, d: str) -> str:
+    """A folder of its own for the tables of `d`, the same in every run."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{hashlib.md5(d.encode()).hexdigest()}"
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    at = f"{shared_dir(spark).rstrip('/')}/state-{uuid.uuid4().hex}"
-    return incremental_state.uncovered_changes(table(spark, d, "change_sets"), table(spark, d, "repo_meta"), at)
+    return incremental_state.uncovered_changes(table(spark, d, "change_sets"), table(spark, d, "repo_meta"), _kept(spark, "state", d))
+
 
+def p5_second_run(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs: one at the start of the month of the last delivery, and what a second one with all deliveries has to do."""
+    sets = table(spark, d, "change_sets")
+    now = incremental_state.changed_paths(sets)
+    start = sets.select(F.date_trunc("month", F.max("arrived_at")).cast("timestamp_ntz")).first()[0]
+    before = incremental_state.changed_paths(sets.where(F.col("arrived_at") < F.lit(None if start is None else str(start)).cast("timestamp_ntz")))
+    store = incremental_state.StateStore(spark, f"{shared_dir(spark).rstrip('/')}/runs-{uuid.uuid4().hex}", incremental_state.FILE)
+    kinds = lambda df: df.select(*incremental_state.FILE, *(F.col(f"at_{c}").isNotNull().alias(c) for c in incremental_state.CHANGES))
+    content = list(incremental_state.CHANGES)
+    store.commit(store.changes(kinds(before), content))
+    return store.changes(kinds(now), content).select(*incremental_state.FILE, "change_type")
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_report, p4_found, p4_descendants, p4_paths, p5_found)}
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_report, p4_found, p4_descendants, p4_paths, p5_found, p5_second_run)}
 
 _ORPHANS = """
 refs AS (
@@ -98,4 +116,14 @@ SQL = {
           WHERE lower(trim(m.status)) = 'ok')
         SELECT repo, "commit", file_path, change FROM items i
         WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.repo = i.repo AND i.seq <= r.seq AND i.seen <= r.started_at)""",
+    "p5_second_run": """
+        WITH lists AS (
+          SELECT repo, "commit", arrived_at, 1 AS n, unnest(added) AS p FROM change_sets
+          UNION ALL SELECT repo, "commit", arrived_at, 2, unnest(modified) FROM change_sets
+          UNION ALL SELECT repo, "commit", arrived_at, 4, unnest(deleted) FROM change_sets),
+        sets AS (
+          SELECT repo, "commit", replace(p, '\\', '/') AS file_path, bit_or(n) AS now,
+            bit_or(n) FILTER (arrived_at < (SELECT date_trunc('month', max(arrived_at)) FROM change_sets)) AS before
+          FROM lists WHERE p IS NOT NULL GROUP BY ALL)
+        SELECT repo, "commit", file_path, CASE WHEN before IS NULL THEN 'new' ELSE 'changed' END AS change_type FROM sets WHERE now IS DISTINCT FROM before""",
 }

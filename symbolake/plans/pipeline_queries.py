@@ -65,10 +65,8 @@ def streamed_changes(spark, d):
     at, out = f"{d}/change_sets.parquet", _place(spark, "stream-out")
     schema = spark.read.parquet(at).schema
     source = spark.readStream.schema(schema)
-    spark.createDataFrame([], ITEMS).write.parquet(out)
-    items = M.stream_items(source.parquet(at) if os.path.isdir(at) else source.option("pathGlobFilter", "change_sets.parquet").parquet(d), "3650 days")
-    M.maintain(items, _place(spark, "stream-state"), lambda new, _: new.write.mode("append").parquet(out), _place(spark, "stream-checkpoint")).awaitTermination()
-    return spark.read.schema(ITEMS).parquet(out)
+    M.maintain(source.parquet(at) if os.path.isdir(at) else source.option("pathGlobFilter", "change_sets.parquet").parquet(d), _place(spark, "stream-state"), out, _place(spark, "stream-checkpoint")).awaitTermination()
+    return spark.read.schema(ITEMS).parquet(f"{out}/batch=*")
 
 
 def offline_summaries(spark, d):

@@ -33,49 +33,50 @@ SCHEMAS = {
 }
 #: Tables that are laid out by package, so that a repo's rows are read alone.
 BY_PACKAGE = {"symbols": "package"}
+#: Rows of a package per file, about; and packages up to which their numbers of files are broadcast.
+FILE_ROWS, FEW = 500_000, 100_000
 
 
 class GraphStore:
-    """The tables under `path`: `commit` to write, `read` to read, `version` and `history` of commits."""
+    """The tables under `path`: `commit` to write, `read` to read, `version` of the last commit."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self.pointer = Pointer(spark, f"{self.path}/_graph")
 
-    def _state(self, version: int | None = None) -> dict:
-        said = self.pointer.read()
-        state = json.loads(said) if said else {"version": 0, "tables": {}, "history": []}
-        if version is None or version == state["version"]:
-            return state
-        old = next((h for h in state["history"] if h["version"] == version), None)
-        if old is None:
+    def _tables(self, version: int) -> dict:
+        said = self.pointer.read(version)
+        if said is None and version:
             raise ValueError(f"no version {version} in {self.path}")
-        return old
+        return json.loads(said) if said else {}
 
     def version(self) -> int:
         """Number of the current version, 0 before the first commit."""
-        return self._state()["version"]
+        return self.pointer.number()
 
     def commit(self, **tables: DataFrame) -> int:
-        """Writes the given tables, empty ones too, and makes them current together; returns the version. Others stay."""
-        state = self._state()
-        where = dict(state["tables"])
+        """Writes the given tables, empty ones too, and makes them current together; returns the version. Others stay.
+
+        `pointer.Stale` if another commit came in between; nothing has changed then.
+        """
+        version = self.version()
+        where = self._tables(version)
         for name, df in tables.items():
             schema = SCHEMAS[name]
             cols = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
             at = f"{name}/{uuid.uuid4().hex}"
             out = df.select(*cols)
             if name in BY_PACKAGE:
-                out = out.repartition(F.col(BY_PACKAGE[name]), F.pmod(F.xxhash64("symbol_id"), F.lit(64)))  # a large package spreads over 64 files
+                sizes = out.groupBy(BY_PACKAGE[name]).agg(F.ceil(F.count(F.lit(1)) / FILE_ROWS).alias("_files"))  # a large package spreads over files
+                out = out.join(F.broadcast(sizes) if sizes.count() <= FEW else sizes, BY_PACKAGE[name]).repartition(F.col(BY_PACKAGE[name]), F.pmod(F.xxhash64("symbol_id"), "_files")).select(*schema.names)
             (out.write.partitionBy(BY_PACKAGE[name]) if name in BY_PACKAGE else out.write).parquet(f"{self.path}/_graph/{at}")
             where[name] = at
-        past = [*state["history"], {k: state[k] for k in ("version", "tables")}][-100:]
-        self.pointer.swap(json.dumps({"version": state["version"] + 1, "tables": where, "history": past}))
-        return state["version"] + 1
+        self.pointer.put(version, json.dumps(where))
+        return version + 1
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
         """A table of the current (or a past) version; an absent one is empty."""
-        at = self._state(version)["tables"].get(name)
+        at = self._tables(self.version() if version is None else version).get(name)
         schema = SCHEMAS[name]
         if at is None:
             return self.spark.createDataFrame([], schema)

@@ -7,6 +7,8 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
+from symbolake.sources.pointer import Stale
 from symbolake.operators import dense_counts, hierarchy, incremental_state, orphans
 
 T0 = datetime(2024, 1, 1)
@@ -145,8 +147,12 @@ def test_state_swap_and_failure(spark, tmp_path):
     first = store.changes(v1, ["v"])
     assert first.count() == 3 and {r.change_type for r in first.collect()} == {"new"}
     store.stage(first)  # a run that dies here leaves the old state current
-    assert store.version() is None and store.changes(v1, ["v"]).count() == 3
-    store.commit(first)
+    assert store.version == 0 and store.changes(v1, ["v"]).count() == 3
+    other = incremental_state.StateStore(spark, f"file://{tmp_path}/s", ["k"])
+    assert store.commit(first) == 1
+    with pytest.raises(Stale):  # a run that started from the same state
+        other.commit(first)
+    assert incremental_state.StateStore(spark, f"file://{tmp_path}/s", ["k"]).changes(v1, ["v"]).where("k is not null").count() == 0
     assert store.changes(v1, ["v"]).where("k is not null").count() == 0
     v2 = spark.createDataFrame([("a", "2"), ("b", ""), ("c", "x")], "k string, v string")
     assert rows(store.changes(v2, ["v"]).select("k", "change_type")) == [("a", "changed"), ("b", "changed"), ("c", "new")]
@@ -154,6 +160,19 @@ def test_state_swap_and_failure(spark, tmp_path):
     assert store.changes(v2, ["v"]).count() == 0
 
 
+def test_many_small_commits_are_written_as_one_at_times(spark, tmp_path, monkeypatch):
+    from pyspark.sql import types as T
+
+    monkeypatch.setattr(incremental_state, "PARTS", 3)
+    store = incremental_state.StateStore(spark, f"file://{tmp_path}/s", ["k"], T.StructType([T.StructField("x", T.IntegerType())]))
+    for i in range(7):
+        now = spark.createDataFrame([("a", i), (f"k{i}", i), (f"k{i}", i)], "k string, x int")
+        assert store.changes(now.select("k", F.col("x").alias("y")), ["y"]).count() == 3
+        store.commit(now.withColumn("content_hash", incremental_state.content_hash("x")), note=i)
+        assert len(store._record()["parts"]) < 3 and store.note() == i
+    assert rows(store.read(now).select("k", "x")) == sorted([("a", 6), *((f"k{i}", i) for i in range(7))])
+
+
 def test_content_hash_keeps_columns_apart(spark):
     df = spark.createDataFrame([("ab", "c"), ("a", "bc"), (None, "abc"), ("", "abc"), ("a", None)], "x string, y string")
     assert df.select(incremental_state.content_hash("x", "y").alias("h")).distinct().count() == 5
@@ -183,6 +202,11 @@ def test_uncovered_changes(spark, tmp_path, monkeypatch, block):
     cs = spark.createDataFrame(sets, "repo string, commit string, seq int, arrived_at timestamp_ntz, added array<string>, modified array<string>, deleted array<string>")
     rm = spark.createDataFrame(runs, "repo string, commit string, started_at timestamp_ntz, status string")
     assert rows(incremental_state.uncovered_changes(cs, rm, f"file://{tmp_path}/state")) == brute_uncovered(sets, runs)
+    again = incremental_state.StateStore(spark, f"file://{tmp_path}/state", incremental_state.FILE)
+    assert rows(incremental_state.uncovered_changes(cs, rm, f"file://{tmp_path}/state")) == brute_uncovered(sets, runs)
+    assert again.pointer.number() == again.version == 1  # the same log: the state is used as it is
+    fewer = rm.where("started_at < '2024-01-10'")
+    assert set(rows(incremental_state.uncovered_changes(cs, fewer, f"file://{tmp_path}/state"))) >= set(brute_uncovered(sets, runs)) and again.pointer.number() == 2
 
 
 def test_uncovered_without_runs_or_changes(spark, tmp_path):

@@ -16,6 +16,7 @@ from symbolake.sources import manifests
 from symbolake.sources.extract import extract
 from symbolake.sources.repo_walk import parse, read_trees, walk
 from symbolake.sources.store import GraphStore
+from symbolake.sources.pointer import Stale
 from symbolake.streaming import maintain as M
 
 LIB = {
@@ -105,6 +106,13 @@ def test_store_is_atomic_and_keeps_versions(spark, tmp_path):
     assert [tuple(r) for r in store.read("repo_meta", 1).collect()] == [("r", "1")]
     with pytest.raises(ValueError, match="no version"):
         store.read("repo_meta", 9)
+    store.pointer.number = lambda: 1  # a writer that began before the second commit
+    with pytest.raises(Stale):
+        store.commit(repo_meta=meta)
+    del store.pointer.number
+    for k in range(120):
+        store.pointer.put(store.version(), store.pointer.read(2))
+    assert store.version() == 122 and store.read("repo_meta", 3).count() == 2  # no version is forgotten
 
 
 @pytest.fixture
@@ -202,18 +210,26 @@ def test_manifests(tmp_path):
     assert manifests.dependencies(str(tmp_path)) == [] and manifests.dependencies(str(tmp_path / "none")) == []
 
 
-def test_streaming(spark, tmp_path):
+def test_streaming(spark, tmp_path, monkeypatch):
     schema = "repo string, commit string, seq int, arrived_at timestamp_ntz, added array<string>, modified array<string>, deleted array<string>"
     row = lambda c, n, day: ("r", c, n, datetime(2024, 1, day), [f"{c}.py", None], ["a\\b.py"], None)
-    src, seen = f"{tmp_path}/in", []
+    src, out, state, ck = (f"{tmp_path}/{x}" for x in ("in", "out", "state", "ck"))
     spark.createDataFrame([row("c1", 1, 1), row("c1", 1, 2)], schema).write.parquet(src)
     stream = lambda: spark.readStream.schema(schema).parquet(src)
-    run = lambda: M.maintain(M.stream_items(stream()), f"file://{tmp_path}/state", lambda df, _: seen.extend(map(tuple, df.collect())), f"{tmp_path}/ck").awaitTermination()
+    run = lambda: M.maintain(stream(), f"file://{state}", out, ck).awaitTermination()
+    seen = lambda: sorted(tuple(r) for r in spark.read.parquet(f"{out}/batch=*").collect())
     run()
-    assert sorted(seen) == [("r", "c1", "a/b.py", "modified"), ("r", "c1", "c1.py", "added")]
+    assert seen() == [("r", "c1", "a/b.py", "modified"), ("r", "c1", "c1.py", "added")]
     spark.createDataFrame([row("c1", 1, 3), row("c2", 2, 4)], schema).write.mode("append").parquet(src)
+    with monkeypatch.context() as m:  # a run that dies between writing and committing
+        m.setattr(M.StateStore, "commit", lambda *_: 1 / 0)
+        with pytest.raises(Exception, match="division"):
+            run()
     run()
-    assert len(seen) == 4 and {x[1] for x in seen[2:]} == {"c2"}
+    assert len(seen()) == 4 and len(set(seen())) == 4
+    shutil.rmtree(f"{ck}/commits")  # a run that dies between committing and the stream's own mark
+    run()
+    assert len(seen()) == 4
     q = M.changes_per_window(stream()).writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sum(r.n for r in spark.table("w").collect()) >= 4
