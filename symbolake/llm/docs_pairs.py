@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from symbolake.llm.lexer import definitions
+from symbolake.runtime import materialize
 
 # Texts that take the place of documentation, as whole texts.
 PLACEHOLDERS = re.compile(
@@ -108,27 +109,33 @@ def scope_tail(descriptor: Column, file_path: Column) -> Column:
     return F.array_join(F.slice(parts, module + 1, F.greatest(F.size(parts) - module, F.lit(0))), "/")
 
 
-_FOUND = "repo string, file_path string, tail string, description string"
+_FOUND = "repo string, file_path string, tail string, description string, code string"
 
 
-def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        rows = []
-        for repo, path, text in zip(f["repo"], f["file_path"], f["text"], strict=True):
-            if "/**" in text or '"' in text or "'" in text:
-                for tail, name, kind, doc in definitions(text, path):
-                    if doc and kind not in ("class", "interface") and (said := description(doc, name)):
-                        rows.append((repo, path, tail, said))
-        yield pd.DataFrame(rows, columns=["repo", "file_path", "tail", "description"])
+def _extract(code: bool):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for repo, path, text in zip(f["repo"], f["file_path"], f["text"], strict=True):
+                if code or "/**" in text or '"' in text or "'" in text:
+                    for tail, name, kind, doc, source in definitions(text, path):
+                        said = description(doc, name) if doc and kind not in ("class", "interface") else None
+                        if said or code and kind not in ("class", "interface"):
+                            rows.append((repo, path, tail, said, source if code else None))
+            yield pd.DataFrame(rows, columns=["repo", "file_path", "tail", "description", "code"])
 
+    return run
 
-def source_documentation(documents: DataFrame) -> DataFrame:
-    """One row (repo, file_path, tail, description) per documented definition of the source documents.
+
+def source_definitions(documents: DataFrame, code: bool = False) -> DataFrame:
+    """One row (repo, file_path, tail, description, code) per documented function of the source documents; with `code` of every function, description null where undocumented.
 
     Documents without repo, path or text give none; copies of a file and repeated definitions give one row.
     """
     src = documents.where("repo is not null and file_path is not null and text is not null").select("repo", "file_path", "text")
-    return src.mapInPandas(_extract, _FOUND).groupBy("repo", "file_path", "tail").agg(F.min("description").alias("description"))
+    each = src.mapInPandas(_extract(code), _FOUND)
+    least = F.min(F.when(F.col("description").isNotNull() | F.lit(code), F.struct(F.col("description").isNull(), "description", "code"))).alias("m")
+    return each.groupBy("repo", "file_path", "tail").agg(least).select("repo", "file_path", "tail", "m.description", "m.code")
 
 
 @F.pandas_udf(T.StringType())
@@ -136,19 +143,26 @@ def _described(docs: pd.Series, names: pd.Series) -> pd.Series:
     return pd.Series([description(d, n or "") for d, n in zip(docs, names, strict=True)], dtype=object)
 
 
-def documented_functions(symbols: DataFrame, documents: DataFrame) -> DataFrame:
-    """Problem 6: (symbol_id, name, signature, description), one row per id of kind Function or Method that is documented.
+def documented_functions(symbols: DataFrame, documents: DataFrame, code: bool = False) -> DataFrame:
+    """Problem 6: (symbol_id, name, signature, description, and with `code` the function's source), one row per id of kind Function or Method that is documented.
 
     A docstring that is not null decides by itself, even if blank; else the source document of the symbol's repo and
-    path is asked. Of several lives of an id the one with the smallest (description, name, signature) speaks. Symbols
-    with null id, and files without document, give none. Empty tables give no rows.
+    path is asked. Of several lives of an id the one with the smallest (description, name, signature) speaks; its code is null if
+    no document has it. Symbols with null id, and files without document, give none. Empty tables give no rows.
     """
     fn = symbols.where(F.col("kind").isin("Function", "Method") & F.col("symbol_id").isNotNull()).select("symbol_id", "name", "signature", "docstring", "repo", "file_path", "descriptor")
+    fn = fn.withColumn("tail", scope_tail(F.col("descriptor"), F.col("file_path"))).drop("descriptor")
     own = fn.where("docstring is not null").withColumn("description", _described("docstring", "name")).where("description is not null")
-    bare = fn.where("docstring is null and repo is not null and file_path is not null").withColumn("tail", scope_tail(F.col("descriptor"), F.col("file_path")))
+    bare = fn.where("docstring is null and repo is not null and file_path is not null")
     bare = bare.select("symbol_id", "name", "signature", "repo", "file_path", "tail").distinct()  # many lives of a symbol are one row
-    read = bare.join(source_documentation(documents), ["repo", "file_path", "tail"])
-    cols = ["symbol_id", "name", "signature", "description"]
-    both = own.select(cols).unionByName(read.select(cols))
-    least = F.min(F.struct("description", "name", "signature")).alias("m")
-    return both.groupBy("symbol_id").agg(least).select("symbol_id", "m.name", "m.signature", "m.description")
+    place, said = ["repo", "file_path", "tail"], ["symbol_id", "description", "name", "signature"]
+    source = source_definitions(documents, code)
+    if code:
+        source = materialize(source, "definitions")
+        own = own.select(*said, *place).distinct().join(source.select(*place, "code"), place, "left")
+    else:
+        own = own.withColumn("code", F.lit(None).cast("string"))
+    read = bare.join(source.where("description is not null"), place)
+    both = own.select(*said, "code").unionByName(read.select(*said, "code"))
+    least = F.min(F.struct("description", "name", "signature", F.col("code").isNull().alias("none"), "code")).alias("m")
+    return both.groupBy("symbol_id").agg(least).select("symbol_id", "m.name", "m.signature", "m.description", *(["m.code"] if code else []))

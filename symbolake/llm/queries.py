@@ -21,7 +21,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return docs_pairs.documented_functions(table(spark, d, "symbols"), table(spark, d, "documents"))
+    """Each documented function with its description and its source text."""
+    return docs_pairs.documented_functions(table(spark, d, "symbols"), table(spark, d, "documents"), code=True)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -94,7 +94,7 @@ function six() {}
 
 
 def said(text, path):
-    return {q: P.strip_marks(d).split("\n")[0].strip() if d else None for q, _, _, d in definitions(text, path)}
+    return {q: P.strip_marks(d).split("\n")[0].strip() if d else None for q, _, _, d, _ in definitions(text, path)}
 
 
 @pytest.mark.parametrize("end", ["\n", "\r\n"])
@@ -109,6 +109,43 @@ def test_script_definitions(end):
     assert got == {"one": "Says one.", "one/two": "Says two.", "C": "Says C.", "C/three": "Says three.", "C/four": None, "C/five": None, "I": "Says I.", "six": None}
 
 
+def code(text, path):
+    return {q: c for q, _, _, _, c in definitions(text, path)}
+
+
+def test_extent_of_definitions():
+    got = code(PY, "a/b.py")
+    assert got["one"].startswith('@deco("def fake(): pass")\ndef one(') and got["one"].endswith("return s") and got["one/two"] == "    def two():\n        'Says two.'"
+    assert got["C/four"] == '    def four(self): return "not documentation"' and got["C"].endswith('"a" + "b"') and got["seven"].endswith("; pass")
+    assert code("def a():\n    x = (1,\n2)\n    # end\n\n\n# far\ny = 1\n", "x.py") == {"a": "def a():\n    x = (1,\n2)\n    # end\n\n\n# far"}
+    assert code("@a\n@b(\n  1)\nasync def f(): \\\n  pass\n@c\ndef g(): pass", "x.py") == {"f": "@a\n@b(\n  1)\nasync def f(): \\\n  pass", "g": "@c\ndef g(): pass"}
+    got = code(TS, "a/b.ts")
+    assert got["one"].startswith("export async function one(") and got["one"].endswith('return "/** no */"; }\n}') and got["one/two"] == 'function two() { return "/** no */"; }'
+    assert got["C"].startswith("@Dec({ a: 1 })\nexport class C {") and got["C/five"] == "get five(): number { return 1; }" and got["six"] == "function six() {}" and got["C/four"] == "four() {}"
+    assert got["C/three"].startswith("// eslint-disable-next-line complexity\n  public static three<T>")
+
+
+def test_patterns_and_nested_templates():
+    js = "/** Says a. */\nfunction a(s) { return /`/.test(s); }\n/** Says b. */\nfunction b(x) { return `${x.map((y) => `<${y ? '}' : \"`\"}>`).join(`{`)} it's {`; }\n/** Says c. */\nfunction c() { const q = a / b / c; case /[/`]/: }\nclass D { m() { throw /{/; }\n /** Says n. */ static async *n() {} }"
+    assert said(js, "x.js") == {"a": "Says a.", "b": "Says b.", "c": "Says c.", "D": None, "D/m": None, "D/n": "Says n."}
+    got = code(js, "x.js")
+    assert got["a"] == "function a(s) { return /`/.test(s); }" and got["b"].endswith("it's {`; }") and got["D/n"] == "static async *n() {}"
+    assert said("function a() { `${ `", "x.js") == {"a": None}
+
+
+def test_long_lines_take_linear_time():
+    import time
+
+    def took(n):
+        js = "class A { " + "".join(f"m{i}(x) {{ return f(x, {{ a: 1 }}) }} " for i in range(n)) + "}"
+        began = time.perf_counter()
+        assert len(definitions(js, "x.js")) == n + 1
+        return time.perf_counter() - began
+
+    took(500)
+    assert took(8000) < 16 * 4 * max(took(500), 0.002)
+
+
 def test_broken_and_odd_source():
     assert said("def a(:\n  'x y'\ndef b():\n  'says'\n", "x.py")["b"] == "says"
     assert said("class A { f( { }", "x.js") == {"A": None, "A/f": None}
@@ -122,4 +159,7 @@ def test_documented_functions(spark):
     d = spark.createDataFrame([("r", "a/b.py", PY, 1), ("r", "a/b.py", PY, 2), (None, "a/b.py", PY, 3), ("r", None, PY, 4), ("r", "x.py", None, 5)], "repo string, file_path string, text string, doc_id long")
     got = {r.symbol_id: r.description for r in P.documented_functions(s, d).collect()}
     assert got == {"1": "Other life speaks.", "2": "Says two.", "5": "Says seven.", "6": "Keeps ties."}
+    pairs = {r.symbol_id: (r.description, r.code) for r in P.documented_functions(s, d, code=True).collect()}
+    assert {i: x for i, (x, _) in pairs.items()} == got and pairs["6"][1] is None or "six" in pairs["6"][1]
+    assert pairs["1"][1].endswith("return s") and pairs["2"][1].strip().startswith("def two")
     assert P.documented_functions(s.limit(0), d).count() == 0 and P.documented_functions(s, d.limit(0)).count() == 2
