@@ -68,17 +68,51 @@ def test_empty(spark):
     assert K.machine_files(s, d).count() == 0
 
 
-def test_cross_entropy_against_a_loop():
-    counts = np.zeros((K.SLOTS, K.CODES)) + 0.05
+def test_cross_entropy_against_a_loop(spark):
     names = pd.Series(["load_record", "sort", "a", "Ab9$é"])
     codes, owner = K._trigrams(names)
     code = lambda c: int(K._CLASS[min(ord(c), 255)])
     want = [(i, code(p[0]) * 1024 + code(p[1]) * 32 + code(p[2])) for i, n in enumerate(names) for p in zip("\0\0" + n, "\0" + n + "\0", n + "\0", strict=False) if len(p) == 3]
     assert sorted(zip(owner.tolist(), codes.tolist(), strict=True)) == sorted((i, c) for i, c in want)
-    model = -np.log2(counts.reshape(-1, 32) / counts.reshape(-1, 32).sum(axis=1, keepdims=True)).reshape(K.SLOTS, K.CODES)
-    assert np.allclose(K.cross_entropy(model, names, pd.Series(["x"] * 4)), 5.0)
-
-
-def test_data_share_of_blank_and_long_texts():
-    assert K.data_share("")[0] == 0.0
-    assert K.data_share("x = 1\n" * 100_000)[0] == 0.0
+    flat = np.full((1, K.CODES), 5.0)
+    assert np.allclose(K.cross_entropy(flat, names, np.zeros(4, dtype=int)), 5.0)
+
+
+def test_each_language_has_its_own_model(spark, monkeypatch):
+    rows = [(n, x) for x, ns in {"Python": ["load_rows", "load_keys"], "KOTLIN": ["zzyzx"], "kotlin": ["zzyzy"], "c": ["qqqq"]}.items() for n in ns] + [("nameless", None)]
+    df = spark.createDataFrame(rows, "name string, language string")
+    slot, model = K.identifier_models(df)
+    assert slot == {"kotlin": 0, "python": 1, "c": 2} and model.shape == (5, K.CODES)
+    bits = K.cross_entropy(model, pd.Series(["zzyzx", "zzyzx", "zzyzx", "zzyzx"]), np.array([0, 1, 3, 4]))
+    assert bits[0] < bits[3] < bits[1] and bits[1] > 3 and bits[2] > 3
+    monkeypatch.setattr(K, "MODELS", 1)
+    slot, model = K.identifier_models(df)
+    assert slot == {"kotlin": 0} and K._slots(pd.Series(["Kotlin", "python", None]), slot).tolist() == [0, 1, 1]
+
+
+def test_release_names():
+    assert K.release_names('__version__ = "2.5.2"\n__project__ = "nibbleset"\ndef f(): pass\n', "r") == ["nibbleset"]
+    assert K.release_names("/*\n * tansy-js 2.8.3\n * Copyright\n */\nimport a\n", "r") == ["tansy-js"]
+    assert K.release_names('__version__ = "1.0.0"\n', "r") == [] and K.release_names("# about tansyjs\n", "r") == []
+    assert K.release_names("# own-repo 1.2.3\n", "own-repo") == [] and K.release_names("def f():\n    # loom 1.2.3\n    g()\n", "r") == []
+    licence = "".join(f"# line {i} of a licence\n" for i in range(40))
+    assert K.release_names(f"{licence}# loom 1.2.3\n", "r") == ["loom"] and K.release_names("def f(): pass\n\n// from loom v1.2.3\n", "r") == ["from", "loom"]
+    assert K.release_names("", "r") == []
+
+
+def test_a_fork_is_not_vendored(spark):
+    rng, order = random.Random(3), iter(range(10**6))
+    rows = []
+    for i in range(12):
+        names = [f"{rng.choice(VERBS)}_{rng.choice(NOUNS)}_{rng.choice(NOUNS)}" for _ in range(8)]
+        for repo in ("main", "fork") if i < 10 else ("main",):
+            rows.append((repo, f"f{i}.py", "Python", "File", "f", f"f{i}", None, 1, 30, next(order), None, None))
+            rows += [(repo, f"f{i}.py", "Python", "Function", n, f"f{i}/{n}().", f"def {n}(x):", 2 + 3 * k, 4 + 3 * k, next(order), None, None) for k, n in enumerate(names)]
+    assert K.machine_files(spark.createDataFrame(rows, SYM), spark.createDataFrame([], "repo string, file_path string, text string")).count() == 0
+
+
+def test_literal_share():
+    assert K.literal_share("") == (0.0, 0.0, 0)
+    assert K.literal_share("x = a\n" * 100_000)[0] == 0.0
+    share, digits, count = K.literal_share("B = [\n" + '  "0a1b2c3d4e5f", 12.5,\n' * 50 + "]\n# a remark\n")
+    assert share > 0.99 and digits > 0.85 and count == 100
