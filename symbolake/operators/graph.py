@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from symbolake.functions.text import est_tokens
-from symbolake.runtime import heavy_keys, materialize, salted
+from symbolake.runtime import heavy_keys, materialize, salted, small
 
 #: Edges up to which a rank is computed by one numpy kernel; beyond, by a join loop.
 KERNEL_EDGES = 1_000_000
 DAMPING, ITERATIONS = 0.85, 40
 DEPTH, BUDGET = 4, 1500
+#: Parts in which the items of one size are ordered first.
+SALTS = 64
 NODE = ["symbol_id", "name", "kind", "package", "descriptor", "file_path", "line_start", "signature", "ordinal"]
 
 
@@ -90,32 +92,37 @@ def dependents(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     return n if ids is None else ids.select("symbol_id").join(n, "symbol_id", "left").select("symbol_id", F.coalesce("deps", F.lit(0)).alias("deps"))
 
 
+def _follow(adj: DataFrame, frontier: DataFrame) -> DataFrame:
+    """The edges that start `at` a node of the frontier. A small frontier (by its files) goes to the edges; for a large one the nodes that hold much of the edges are salted."""
+    if small(frontier):
+        return adj.join(F.broadcast(frontier), "at")
+    lhs, rhs, on = salted(adj, frontier, "at", heavy_keys(adj, "at"))
+    return lhs.join(rhs, on).drop("_salt")
+
+
 def bfs(start: DataFrame, edges: DataFrame, nodes: DataFrame, kinds: list[str], depth: int = DEPTH, reverse: bool = False) -> DataFrame:
     """(symbol_id, depth, via) of every node within `depth` hops of `start` (one column symbol_id), at its least depth.
 
     via is the kind of the edge from the parent of smallest ordinal, then the smallest kind. The start is not
-    returned; depth 0 gives nothing; cycles end. One join a level; a frontier is broadcast only where the planner knows
-    from its files that it is small.
+    returned; depth 0 gives nothing; cycles end. Ids that are no nodes are never passed, so `edges` may have ends that don't
+    exist. Each level filters the edges by the frontier and looks only the ids it meets up among the nodes.
     """
     here, there = ("dst_id", "src_id") if reverse else ("src_id", "dst_id")
-    # Both are read at every level, so they are computed once; the files' sizes let the planner choose its joins.
-    adj = materialize(edges.where(F.col("kind").isin(kinds)).select(F.col(here).alias("at"), F.col(there).alias("symbol_id"), "kind").distinct(), "adjacency")
-    order = materialize(nodes.select("symbol_id", "ordinal"), "order")
-    spark = start.sparkSession
-    seen = materialize(start.select("symbol_id").distinct().join(order, "symbol_id").select("symbol_id", "ordinal", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via")), "bfs")
-    levels = [seen]
-    for d in range(1, depth + 1):
-        f = levels[-1].select(F.col("symbol_id").alias("at"), F.col("ordinal").alias("po"))
-        step = adj.join(f, "at").groupBy("symbol_id").agg(F.min(F.struct("po", "kind")).alias("m"))
-        known = reduce(DataFrame.unionByName, [x.select("symbol_id") for x in levels])
-        new = step.join(known, "symbol_id", "left_anti").join(order, "symbol_id").select("symbol_id", "ordinal", F.lit(d).alias("depth"), F.col("m.kind").alias("via"))
-        new = materialize(new, "bfs")
+    adj = edges.where(F.col("kind").isin(kinds)).select(F.col(here).alias("at"), F.col(there).alias("symbol_id"), "kind")
+    ordinal = nodes.select("symbol_id", "ordinal")
+    known = lambda ids: ids.join(ordinal.join(ids.select("symbol_id"), "symbol_id", "left_semi"), "symbol_id")
+    steps = [materialize(start.select("symbol_id").where("symbol_id is not null").distinct(), "bfs")]
+    for _ in range(depth):
+        frontier = materialize(known(steps[-1]).select(F.col("symbol_id").alias("at"), F.col("ordinal").alias("po")), "frontier")
+        step = _follow(adj, frontier).where("symbol_id is not null").groupBy("symbol_id").agg(F.min(F.struct("po", "kind")).alias("m"))
+        new = materialize(step.join(reduce(DataFrame.unionByName, [x.select("symbol_id") for x in steps]), "symbol_id", "left_anti"), "bfs")
         if new.isEmpty():
             break
-        levels.append(new)
-    if len(levels) == 1:
-        return spark.createDataFrame([], "symbol_id string, depth int, via string")
-    return reduce(DataFrame.unionByName, levels[1:]).select("symbol_id", "depth", "via")
+        steps.append(new)
+    if len(steps) == 1:
+        return start.sparkSession.createDataFrame([], "symbol_id string, depth int, via string")
+    met = reduce(DataFrame.unionByName, [x.select("symbol_id", F.lit(d + 1).alias("depth"), F.col("m.kind").alias("via")) for d, x in enumerate(steps[1:])])
+    return known(met).drop("ordinal")
 
 
 def ripple(start: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -130,7 +137,8 @@ def thread(start: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = DE
 
 def hops(reached: DataFrame, nodes: DataFrame) -> DataFrame:
     """Reached nodes as results show them."""
-    return reached.join(project_nodes(nodes), "symbol_id").select("symbol_id", "name", "kind", "repo", "location", "depth", "via")
+    met = nodes.join(reached.select("symbol_id"), "symbol_id", "left_semi")  # before a node set is aggregated
+    return reached.join(project_nodes(met), "symbol_id").select("symbol_id", "name", "kind", "repo", "location", "depth", "via")
 
 
 def zoom(focus: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -210,8 +218,10 @@ def context_pack(focus: DataFrame, edges: DataFrame, nodes: DataFrame, budget: i
     if left > 0:
         rank = pagerank([head.symbol_id], edges)
         cand = rank.join(nodes, "symbol_id").where((F.col("kind") != "File") & (F.col("symbol_id") != head.symbol_id)).select("symbol_id", F.round("rank", 12).alias("rank"), "ordinal", est_tokens().alias("t")).where(F.col("t") <= left)
-        best = Window.partitionBy("t").orderBy(F.desc("rank"), "ordinal", "symbol_id")
-        short = cand.withColumn("n", F.row_number().over(best)).where(F.col("n") * F.col("t") <= left).orderBy(F.desc("rank"), "ordinal", "symbol_id")
+        # First among the items of a size in one of SALTS parts, then of all parts: no task orders all items of a size.
+        best = lambda *by: F.row_number().over(Window.partitionBy("t", *by).orderBy(F.desc("rank"), "ordinal", "symbol_id"))
+        few = cand.withColumn("_salt", F.pmod(F.xxhash64("symbol_id"), F.lit(SALTS))).withColumn("n", best("_salt")).where(F.col("n") * F.col("t") <= left)
+        short = few.withColumn("n", best()).where(F.col("n") * F.col("t") <= left).orderBy(F.desc("rank"), "ordinal", "symbol_id")
         for r in short.toLocalIterator():
             if r.t <= left:
                 items.append((len(items), r.symbol_id, r.t))
@@ -219,19 +229,34 @@ def context_pack(focus: DataFrame, edges: DataFrame, nodes: DataFrame, budget: i
     return spark.createDataFrame(items, schema)
 
 
-def reach(origins: DataFrame, edges: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(origin, symbol_id, depth): everything each origin reaches along Calls, from all origins at once."""
-    adj = materialize(edges.where(F.col("kind") == "Calls").select(F.col("src_id").alias("at"), F.col("dst_id").alias("symbol_id")).distinct(), "adjacency")
+def calls(edges: DataFrame) -> DataFrame:
+    """(at, symbol_id) of the Calls, each pair once; written, as every level reads it."""
+    return materialize(edges.where((F.col("kind") == "Calls") & F.col("src_id").isNotNull() & F.col("dst_id").isNotNull()).select(F.col("src_id").alias("at"), F.col("dst_id").alias("symbol_id")).distinct(), "calls")
+
+
+def reach(origins: DataFrame, edges: DataFrame, depth: int = DEPTH, adj: DataFrame | None = None) -> DataFrame:
+    """(origin, symbol_id, depth): everything each origin reaches along Calls, from all origins at once; as many rows as that is."""
+    adj = calls(edges) if adj is None else adj
     levels = [materialize(origins.select(F.col("symbol_id").alias("origin"), "symbol_id").distinct(), "reach")]
-    for d in range(1, depth + 1):
-        lhs, rhs, on = salted(adj, levels[-1].select("origin", F.col("symbol_id").alias("at")), "at", heavy_keys(adj, "at"))
-        step = lhs.join(rhs, on).select("origin", "symbol_id").distinct()
+    for _ in range(depth):
+        step = _follow(adj, levels[-1].select("origin", F.col("symbol_id").alias("at"))).select("origin", "symbol_id").distinct()
         for x in levels:
             step = step.join(x.select("origin", "symbol_id"), ["origin", "symbol_id"], "left_anti")
         levels.append(materialize(step, "reach"))
     return reduce(DataFrame.unionByName, [x.select("origin", "symbol_id", F.lit(d + 1).alias("depth")) for d, x in enumerate(levels[1:])])
 
 
+def walks(adj: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(symbol_id, n): the walks of 1 to `depth` calls from each node, at least as many as the nodes it reaches; one row a node."""
+    hot = heavy_keys(adj, "symbol_id")
+    n = adj.groupBy(F.col("at").alias("symbol_id")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    for _ in range(depth - 1):
+        before = materialize(n, "walks")
+        lhs, rhs, on = salted(adj, before, "symbol_id", hot)
+        n = lhs.join(rhs, on, "left").groupBy(F.col("at").alias("symbol_id")).agg(F.sum(1 + F.coalesce("n", F.lit(0.0))).alias("n"))
+    return n
+
+
 def load_graph(spark: SparkSession, symbols: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and attached edges."""
     nodes = node_set(symbols)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symbolake.functions.text import path_penalty
-from symbolake.operators.graph import DEPTH, dependents, first_per, project_nodes, reach
+from symbolake.operators.graph import DEPTH, calls, dependents, first_per, project_nodes, reach, walks
+from symbolake.runtime import materialize
 
 # Kinds that are definitions worth a summary or a boost.
 DEFINITIONS = ["Function", "Method", "Class", "Interface", "Struct", "Enum"]
@@ -97,11 +98,33 @@ def suggest(enrichment: DataFrame, nodes: DataFrame, about: str | None = None, l
     return hit.orderBy("symbol", "question", "ordinal").limit(limit).select("question", "symbol", "location", F.lit(total).cast("long").alias("total"))
 
 
+#: Origins whose reach is counted first, and how many times more in each further round.
+ROUND, GROWTH = 256, 16
+
+
 def flow_candidates(nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
-    """(symbol_id, score): functions and methods outside penalised paths by how much they reach in four calls, if any; all or the first `limit`."""
+    """(symbol_id, score): functions and methods outside penalised paths by how much they reach in four calls, if any; all or the first `limit`.
+
+    With a limit only origins that can be among the first are counted: those with the most walks, which are never fewer
+    than the nodes reached, in rounds until no other origin has as many walks as the last of the first reaches nodes.
+    """
     origin = nodes.where(F.col("kind").isin("Function", "Method") & (path_penalty("file_path") == 1.0)).select("symbol_id")
-    score = reach(origin, edges, DEPTH).groupBy(F.col("origin").alias("symbol_id")).agg(F.count(F.lit(1)).alias("score"))
-    return score if limit is None else score.orderBy(F.desc("score"), "symbol_id").limit(limit)
+    count = lambda ids, adj: reach(ids, edges, DEPTH, adj).groupBy(F.col("origin").alias("symbol_id")).agg(F.count(F.lit(1)).alias("score"))
+    if limit is None:
+        return count(origin, None)
+    adj = calls(edges)
+    bound = materialize(origin.join(walks(adj), "symbol_id"), "bounds")
+    n = max(ROUND, 4 * limit)
+    while True:
+        first = materialize(bound.orderBy(F.desc("n"), "symbol_id").limit(n), "first")
+        got = materialize(count(first.select("symbol_id"), adj), "scores")
+        top = got.orderBy(F.desc("score"), "symbol_id").limit(limit)
+        # Nothing is left out if the last of the first is beyond what any origin not counted can reach.
+        least, size = top.agg(F.min("score"), F.count(F.lit(1))).first()
+        rest = bound.join(first.select("symbol_id"), "symbol_id", "left_anti").agg(F.max("n")).first()[0]
+        if rest is None or size == limit and least > rest:
+            return top
+        n *= GROWTH
 
 
 def trace_text(hops: DataFrame) -> DataFrame:

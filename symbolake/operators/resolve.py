@@ -59,7 +59,10 @@ def resolve(symbols: DataFrame, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     imports = grouped.where(is_import)
     lhs, rhs, on = salted(imports, by_core, "dst_descriptor", heavy_keys(raw.where(is_import), "dst_descriptor"))
     imported = lhs.join(rhs, on, "left").select("src_id", "src_package", F.col("def.symbol_id").alias("dst_id"), F.col("def.package").alias("dst_package"), "kind", F.lit(CONFIDENCE["import"]).alias("confidence"), "n")
-    called = grouped.where(~F.coalesce(is_import, F.lit(False)) & is_call).withColumn("_name", call).join(by_name, ["dst_package", "_name"]).select("src_id", "src_package", F.col("_id").alias("dst_id"), "dst_package", "kind", F.lit(CONFIDENCE["call"]).alias("confidence"), "n")
+    named = lambda df: df.withColumn("_key", F.xxhash64("dst_package", "_name"))
+    calls = named(grouped.where(~F.coalesce(is_import, F.lit(False)) & is_call).withColumn("_name", call))
+    lhs, rhs, on = salted(calls, named(by_name), "_key", heavy_keys(named(raw.withColumn("_name", call).where("_name is not null")), "_key"))
+    called = lhs.join(rhs, [*on, "dst_package", "_name"]).select("src_id", "src_package", F.col("_id").alias("dst_id"), "dst_package", "kind", F.lit(CONFIDENCE["call"]).alias("confidence"), "n")
     passed = grouped.where(~F.coalesce(is_import, F.lit(False)) & ~is_call).select("src_id", "src_package", "dst_id", "dst_package", "kind", F.round(F.col("confidence").cast("double"), 6).alias("confidence"), "n")
     every = imported.withColumn("how", F.lit("import")).unionByName(called.withColumn("how", F.lit("call"))).unionByName(passed.withColumn("how", F.lit("")))
     cross = F.coalesce(F.col("src_package") != F.col("dst_package"), F.lit(False))

@@ -83,13 +83,19 @@ def most_depended(spark, d):
     return R.most_depended(nodes, edges)
 
 
+def _raw(spark, d):
+    """The nodes, and the edges as they are: walks look up what they meet."""
+    return G.node_set(table(spark, d, "symbols")), table(spark, d, "edges")
+
+
 def ripple_focus(spark, d):
-    return G.hops(G.ripple(*_at(spark, d)), G.node_set(table(spark, d, "symbols"))).select("symbol_id", "name", "kind", "repo", "location", "depth", "via")
+    nodes, edges = _raw(spark, d)
+    return G.hops(G.ripple(_focus(_graph(spark, d)[1]), edges, nodes), nodes).select("symbol_id", "name", "kind", "repo", "location", "depth", "via")
 
 
 def ripple_by_repo(spark, d):
-    focus, edges, nodes = _at(spark, d)
-    return R.by_repo(G.ripple(focus, edges, nodes), nodes)
+    nodes, edges = _raw(spark, d)
+    return R.by_repo(G.ripple(_focus(_graph(spark, d)[1]), edges, nodes), nodes)
 
 
 def _caller(edges: DataFrame) -> DataFrame:
@@ -97,8 +103,8 @@ def _caller(edges: DataFrame) -> DataFrame:
 
 
 def thread_focus(spark, d):
-    nodes, edges = _graph(spark, d)
-    return G.thread(_caller(edges), edges, nodes)
+    nodes, edges = _raw(spark, d)
+    return G.thread(_caller(_graph(spark, d)[1]), edges, nodes)
 
 
 def zoom_focus(spark, d):

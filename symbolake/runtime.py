@@ -6,6 +6,7 @@ Nothing here keeps data on an executor only: `materialize` writes to the folder
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where unset (tests), one of our own."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where unset, on one machine only, one of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.symbolake.sharedDir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="symbolake-")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = f"file://{tempfile.mkdtemp(prefix='symbolake-')}"
         spark.conf.set("spark.symbolake.sharedDir", at)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(at)
@@ -61,6 +64,11 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def small(df: DataFrame) -> bool:
+    """Whether the planner's estimate of a frame is below what it broadcasts by itself."""
+    return estimated_bytes(df) <= int(df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+
+
 def heavy_keys(df: DataFrame, key: str, share: float = 0.005) -> list:
     """Every value of `key` holding at least `share` of the rows, and at most 1/share values in all; none in a light table.
 
