@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from symbolake import config, render, rpc
-from symbolake.providers import Offline
+from symbolake.providers import provider_of
 from symbolake.session import Session
 
 STEPS = ("embed", "enrich", "flows", "guide")
@@ -64,7 +65,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     conf = config.Config.load(args.config)
     how = conf.get("format", getattr(args, "format", None))
     spark = spark or SparkSession.builder.appName("symbolake").getOrCreate()
-    s = Session(spark, conf.graph_dir(args.index_dir), provider=Offline if conf.get("llm_model") == "offline" else None)
+    s = Session(spark, conf.graph_dir(args.index_dir), provider=provider_of(conf.get("llm_model"), conf.get("llm_base_url"), os.environ.get("SYMBOLAKE_LLM_KEY")))
     try:
         if args.command in ("index", "link"):
             steps = {x: config.step(getattr(args, x), getattr(args, f"no_{x}"), conf.get(x)) for x in STEPS}

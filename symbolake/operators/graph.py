@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from symbolake.functions.text import est_tokens
-from symbolake.runtime import heavy_keys, materialize, salted, small
+from symbolake.runtime import heavy_keys, materialize, materialize_counted, salted, small
 
 #: Edges up to which a rank is computed by one numpy kernel; beyond, by a join loop.
 KERNEL_EDGES = 1_000_000
@@ -92,9 +92,9 @@ def dependents(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     return n if ids is None else ids.select("symbol_id").join(n, "symbol_id", "left").select("symbol_id", F.coalesce("deps", F.lit(0)).alias("deps"))
 
 
-def _follow(adj: DataFrame, frontier: DataFrame) -> DataFrame:
-    """The edges that start `at` a node of the frontier. A small frontier (by its files) goes to the edges; for a large one the nodes that hold much of the edges are salted."""
-    if small(frontier):
+def _follow(adj: DataFrame, frontier: DataFrame, few: bool) -> DataFrame:
+    """The edges that start `at` a node of the frontier. A frontier of few rows goes to the edges; for a large one the nodes that hold much of the edges are salted."""
+    if few:
         return adj.join(F.broadcast(frontier), "at")
     lhs, rhs, on = salted(adj, frontier, "at", heavy_keys(adj, "at"))
     return lhs.join(rhs, on).drop("_salt")
@@ -109,14 +109,15 @@ def bfs(start: DataFrame, edges: DataFrame, nodes: DataFrame, kinds: list[str],
     """
     here, there = ("dst_id", "src_id") if reverse else ("src_id", "dst_id")
     adj = edges.where(F.col("kind").isin(kinds)).select(F.col(here).alias("at"), F.col(there).alias("symbol_id"), "kind")
-    ordinal = nodes.select("symbol_id", "ordinal")
+    ordinal = nodes.groupBy("symbol_id").agg(F.min("ordinal").alias("ordinal"))  # `nodes` may be symbols with several rows an id
     known = lambda ids: ids.join(ordinal.join(ids.select("symbol_id"), "symbol_id", "left_semi"), "symbol_id")
     steps = [materialize(start.select("symbol_id").where("symbol_id is not null").distinct(), "bfs")]
     for _ in range(depth):
-        frontier = materialize(known(steps[-1]).select(F.col("symbol_id").alias("at"), F.col("ordinal").alias("po")), "frontier")
-        step = _follow(adj, frontier).where("symbol_id is not null").groupBy("symbol_id").agg(F.min(F.struct("po", "kind")).alias("m"))
-        new = materialize(step.join(reduce(DataFrame.unionByName, [x.select("symbol_id") for x in steps]), "symbol_id", "left_anti"), "bfs")
-        if new.isEmpty():
+        frontier = known(steps[-1]).select(F.col("symbol_id").alias("at"), F.col("ordinal").alias("po"))
+        # Known ids are never more than those of the last step, whose size is that of its files.
+        step = _follow(adj, frontier, small(steps[-1])).where("symbol_id is not null").groupBy("symbol_id").agg(F.min(F.struct("po", "kind")).alias("m"))
+        new, n = materialize_counted(step.join(reduce(DataFrame.unionByName, [x.select("symbol_id") for x in steps]), "symbol_id", "left_anti"), "bfs")
+        if not n:
             break
         steps.append(new)
     if len(steps) == 1:
@@ -239,7 +240,7 @@ def reach(origins: DataFrame, edges: DataFrame, depth: int = DEPTH, adj: DataFra
     adj = calls(edges) if adj is None else adj
     levels = [materialize(origins.select(F.col("symbol_id").alias("origin"), "symbol_id").distinct(), "reach")]
     for _ in range(depth):
-        step = _follow(adj, levels[-1].select("origin", F.col("symbol_id").alias("at"))).select("origin", "symbol_id").distinct()
+        step = _follow(adj, levels[-1].select("origin", F.col("symbol_id").alias("at")), small(levels[-1])).select("origin", "symbol_id").distinct()
         for x in levels:
             step = step.join(x.select("origin", "symbol_id"), ["origin", "symbol_id"], "left_anti")
         levels.append(materialize(step, "reach"))

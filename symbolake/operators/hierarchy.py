@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symbolake.runtime import heavy_keys, materialize, salted
+from symbolake.runtime import heavy_keys, materialize, materialize_counted, salted
 
 
 def parent_map(edges: DataFrame, parent: str, child: str) -> DataFrame:
@@ -58,9 +58,9 @@ def hierarchy(edges: DataFrame, parent: str, child: str, paths: bool = True, res
     down = materialize(up.join(inner, "node", "left_semi"), "down")
     empty = F.array().cast("array<string>")
     root = inner.join(up, "node", "left_anti").select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), (F.array("node") if paths else empty).alias("path"))
-    levels, frontier = [], materialize(root, "level")
+    levels, (frontier, n) = [], materialize_counted(root, "level")
     left, seen, gone = down.count(), [], 0
-    while n := frontier.count():
+    while n:
         if levels:
             seen, gone = [*seen, frontier.select("node")], gone + n
         levels.append(frontier)
@@ -76,7 +76,7 @@ def hierarchy(edges: DataFrame, parent: str, child: str, paths: bool = True, res
         # Broadcast only if the planner finds one side, whose size it knows from its files, below its threshold.
         f = frontier.select(F.col("node").alias("parent"), "root", "depth", "path")
         below = down.join(f, "parent").select("node", "root", (F.col("depth") + 1).alias("depth"), (F.concat("path", F.array("node")) if paths else F.col("path")).alias("path"))
-        frontier = materialize(below, "level")
+        frontier, n = materialize_counted(below, "level")
     reached = _union(levels, root)
     # The leaves hang below reached inner nodes or, like unreached inner nodes, below none. A container may hold very many.
     leaves = up.join(inner, "node", "left_anti")

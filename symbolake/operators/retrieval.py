@@ -150,9 +150,11 @@ def rerank(candidates: DataFrame, nodes: DataFrame, deps: DataFrame, enrichment:
     stays; ties go by the candidate's score, then id. A repo is filtered before the limit.
     """
     n = nodes if repo is None else nodes.where(F.lower("package") == repo.lower())
-    c = F.broadcast(candidates.withColumnRenamed("score", "fused"))  # a top-k list
-    hit = n.join(c, "symbol_id")
-    hit = hit.join(deps, "symbol_id", "left").join(newest_enrichment(enrichment), "symbol_id", "left")
+    c = materialize(candidates.withColumnRenamed("score", "fused"), "candidates")  # a top-k list, read by each side
+    ids = F.broadcast(c.select("symbol_id"))
+    # Nodes, dependents and enrichment are aggregates by id: only the candidates' rows go into them.
+    some = lambda df: df.join(ids, "symbol_id", "left_semi")
+    hit = some(n).join(F.broadcast(c), "symbol_id").join(some(deps), "symbol_id", "left").join(newest_enrichment(some(enrichment)), "symbol_id", "left")
     q = F.lit(query)
     words = X.query_keywords(q)
     overlap = F.coalesce(F.array_max(F.transform("queries", lambda t: F.size(F.array_intersect(words, X.query_keywords(t))) / F.size(words))), F.lit(0.0))

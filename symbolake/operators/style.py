@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from symbolake.functions.text import casing
-from symbolake.operators.graph import load_graph, node_set
+from symbolake.operators.graph import first_per, load_graph, node_set
+from symbolake.runtime import heavy_keys, materialize, salted
 
 #: Longest evidence of a section, lines of an excerpt and of a documentation excerpt.
 SECTION_CHARS, EXCERPT_LINES, DOC_LINES = 9000, 22, 30
@@ -28,7 +29,26 @@ def _any(conds: list[Column]) -> Column:
 
 def texts(documents: DataFrame) -> DataFrame:
     """One row (repo, file_path, text) per file; of several texts the smallest."""
-    return documents.where("repo is not null and file_path is not null and text is not null").groupBy("repo", "file_path").agg(F.min("text").alias("text"))
+    return _named(documents).groupBy("repo", "file_path").agg(F.min("text").alias("text"))
+
+
+def _named(documents: DataFrame) -> DataFrame:
+    return documents.where("repo is not null and file_path is not null and text is not null").select("repo", "file_path", "text")
+
+
+def texts_of(documents: DataFrame, files: DataFrame) -> DataFrame:
+    """`texts` of some files (repo, file_path); no others are shuffled."""
+    return texts(_named(documents).join(files.select("repo", "file_path").distinct(), ["repo", "file_path"], "left_semi"))
+
+
+def file_flags(documents: DataFrame, flags: dict[str, Column]) -> DataFrame:
+    """(repo, file_path, flags...) of `texts`, each flag a boolean over `text`, found in the scan: only files with several different texts are shuffled as a whole."""
+    cols = [c.alias(n) for n, c in flags.items()]
+    each = _named(documents).select("repo", "file_path", F.xxhash64("text").alias("_h"), *cols)
+    one = materialize(each.groupBy("repo", "file_path").agg(F.min("_h").alias("_a"), F.max("_h").alias("_b"), *(F.max(n).alias(n) for n in flags)), "flags")
+    several = one.where("_a != _b")
+    out = one.where("_a = _b").select("repo", "file_path", *flags)
+    return out if several.isEmpty() else out.unionByName(texts_of(documents, several).select("repo", "file_path", *cols))
 
 
 def _top(df: DataFrame, by: list, order: list, n: int | None) -> DataFrame:
@@ -50,7 +70,9 @@ def _imports(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     e = edges.where(F.col("kind") == "Imports").select("src_id", "dst_id").distinct()
     src = nodes.select(F.col("symbol_id").alias("src_id"), F.col("package").alias("repo"), "file_path")
     dst = nodes.select(F.col("symbol_id").alias("dst_id"), module_of("descriptor").alias("module"))
-    return e.join(src, "src_id").select("repo", "file_path", "dst_id").distinct().join(dst, "dst_id").where("module != ''").select("repo", "module", "file_path").distinct()
+    used = e.join(src, "src_id").select("repo", "file_path", "dst_id").distinct()
+    lhs, rhs, on = salted(used, dst, "dst_id", heavy_keys(e, "dst_id"))
+    return lhs.join(rhs, on).where("module != ''").select("repo", "module", "file_path").distinct()
 
 
 def import_histogram(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -67,13 +89,23 @@ def entry_points(nodes: DataFrame, limit: int = 4) -> DataFrame:
     return _top(f, ["repo"], ["file_path"], limit)
 
 
+def _groups() -> Column:
+    return F.when(F.col("kind").isin("Function", "Method"), "functions").when(F.col("kind").isin("Class", "Interface"), "types")
+
+
 def casing_vote(nodes: DataFrame) -> DataFrame:
     """(repo, group, casing, n, total): the dominant casing of functions and types; of equals the last alphabetically."""
-    group = F.when(F.col("kind").isin("Function", "Method"), "functions").when(F.col("kind").isin("Class", "Interface"), "types")
-    n = nodes.select(F.col("package").alias("repo"), group.alias("group"), casing("name").alias("casing")).where("`group` is not null").groupBy("repo", "group", "casing").agg(F.count(F.lit(1)).alias("n"))
+    n = nodes.select(F.col("package").alias("repo"), _groups().alias("group"), casing("name").alias("casing")).where("`group` is not null").groupBy("repo", "group", "casing").agg(F.count(F.lit(1)).alias("n"))
     return n.groupBy("repo", "group").agg(F.max(F.struct("n", "casing")).alias("m"), F.sum("n").alias("total")).select("repo", "group", "m.casing", "m.n", "total")
 
 
+def naming_examples(nodes: DataFrame, limit: int = 10) -> DataFrame:
+    """(repo, group, examples): the first names of functions and types in input order, joined by commas."""
+    named = nodes.select(F.col("package").alias("repo"), _groups().alias("group"), "name", "ordinal").where("`group` is not null and name is not null")
+    first = F.array_sort(F.collect_list(F.struct("ordinal", "name")))  # at most `limit`
+    return _top(named, ["repo", "group"], ["ordinal", "name"], limit).groupBy("repo", "group").agg(F.array_join(F.transform(first, lambda r: r["name"]), ", ").alias("examples"))
+
+
 def signature_samples(nodes: DataFrame, limit: int = 30) -> DataFrame:
     s = nodes.where(F.octet_length("signature") > 6).select(F.col("package").alias("repo"), "signature", "ordinal")
     return _top(s, ["repo"], ["ordinal"], limit).select("repo", "signature")
@@ -94,18 +126,16 @@ def test_files(nodes: DataFrame, limit: int | None = 3) -> DataFrame:
 def marker_files(documents: DataFrame, limit: int = 4) -> DataFrame:
     """(repo, file_path, section): the first files with markers of types, decorators, or errors, logging and settings; one scan."""
     kinds = {"types": TYPE_MARKERS, "decorators": DECORATOR_MARKERS, "errors": ERROR_MARKERS}
-    have = F.filter(F.array(*(F.when(_any([F.contains("text", F.lit(m)) for m in ms]), k) for k, ms in kinds.items())), lambda x: x.isNotNull())
-    m = texts(documents).select("repo", "file_path", F.explode(have).alias("section"))
-    return _top(m, ["repo", "section"], ["file_path"], limit)
+    flags = file_flags(documents, {k: _any([F.contains("text", F.lit(m)) for m in ms]) for k, ms in kinds.items()})
+    have = F.filter(F.array(*(F.when(F.col(k), k) for k in kinds)), lambda x: x.isNotNull())
+    return _top(flags.select("repo", "file_path", F.explode(have).alias("section")), ["repo", "section"], ["file_path"], limit)
 
 
 def docstring_style(documents: DataFrame, files: int | None = None) -> DataFrame:
     """(repo, google, numpy, rest, jsdoc, style) by votes of all files, or of the first `files` by path; of equals the later style, null without votes."""
-    t = _top(texts(documents), ["repo"], ["file_path"], files)
     c = lambda x: F.contains("text", F.lit(x))
-    v = t.groupBy("repo").agg(
-        F.count_if(c("Args:") | c("Returns:")).alias("google"), F.count_if(c("Parameters\n")).alias("numpy"), F.count_if(c(":param ")).alias("rest"), F.count_if(c("@param") | c("/**")).alias("jsdoc")
-    )
+    styles = {"google": c("Args:") | c("Returns:"), "numpy": c("Parameters\n"), "rest": c(":param "), "jsdoc": c("@param") | c("/**")}
+    v = _top(file_flags(documents, styles), ["repo"], ["file_path"], files).groupBy("repo").agg(*(F.count_if(n).alias(n) for n in styles))
     ranked = F.array_max(F.array(*(F.struct(F.col(x).alias("n"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (x, name) in enumerate((("google", "Google"), ("numpy", "NumPy"), ("rest", "reST"), ("jsdoc", "JSDoc"))))))
     return v.withColumn("m", ranked).select("repo", "google", "numpy", "rest", "jsdoc", F.when(F.col("m.n") > 0, F.col("m.name")).alias("style"))
 
@@ -118,7 +148,11 @@ def excerpt(text: Column, start: Column, lines: int = EXCERPT_LINES) -> Column:
 
 def call_sites(edges: DataFrame, nodes: DataFrame, modules: int = 10) -> DataFrame:
     """(repo, module, file_path): the first file that imports each of a repo's top modules."""
-    n = _imports(edges, nodes).groupBy("repo", "module").agg(F.count(F.lit(1)).alias("files"), F.min("file_path").alias("file_path"))
+    return _sites(_imports(edges, nodes), modules)
+
+
+def _sites(imports: DataFrame, modules: int = 10) -> DataFrame:
+    n = imports.groupBy("repo", "module").agg(F.count(F.lit(1)).alias("files"), F.min("file_path").alias("file_path"))
     return _top(n, ["repo"], [F.desc("files"), "module"], modules).select("repo", "module", "file_path")
 
 
@@ -129,28 +163,40 @@ def _lines(df: DataFrame, section: str, line: Column, order: list[str], limit: i
     return kept.groupBy("repo").agg(F.array_join(F.transform(rows, lambda r: r["_line"]), "\n").alias("evidence")).select("repo", F.lit(section).alias("section"), "evidence")
 
 
-def guide_evidence(symbols: DataFrame, edges: DataFrame, documents: DataFrame) -> DataFrame:
-    """(repo, section, evidence): up to twelve sections per repo, blank ones left out, cut at SECTION_CHARS characters."""
+def guide_evidence(symbols: DataFrame, edges: DataFrame, documents: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """(repo, section, evidence): up to twelve sections per repo, blank ones left out, cut at SECTION_CHARS characters.
+
+    `declared` (repo, section, evidence): what manifests and settings state; it comes first in the stack section and last in any other.
+    """
     nodes, att = load_graph(symbols.sparkSession, symbols, edges)
-    t = texts(documents)
-    named = lambda files, lines=EXCERPT_LINES: files.join(t, ["repo", "file_path"]).select("*", excerpt(F.col("text"), F.lit(1), lines).alias("x")).where("x is not null")
+    nodes = materialize(nodes, "nodes")
+    named = lambda files, lines=EXCERPT_LINES: files.join(texts_of(documents, files), ["repo", "file_path"]).select("*", excerpt(F.col("text"), F.lit(1), lines).alias("x")).where("x is not null")
     block = F.concat(F.lit("### "), F.col("file_path"), F.lit("\n```\n"), F.col("x"), F.lit("\n```"))
-    hist = import_histogram(att, nodes)
-    marks = marker_files(documents)
+    imports = materialize(_imports(att, nodes), "imports")
+    hist = imports.groupBy("repo", "module").agg(F.count(F.lit(1)).alias("files"))
+    marks = materialize(marker_files(documents), "marks")
     pick = lambda s: marks.where(F.col("section") == s).drop("section")
-    big = largest_classes(symbols).join(symbols.select("symbol_id", "file_path", "line_start").dropDuplicates(["symbol_id"]), "symbol_id").join(t, ["repo", "file_path"]).withColumn("x", excerpt(F.col("text"), F.col("line_start"))).where("x is not null")
+    big = largest_classes(symbols).join(symbols.select("symbol_id", "file_path", "line_start", "ordinal"), "symbol_id")
+    big = first_per(big, ["symbol_id"]).drop("ordinal")
+    big = big.join(texts_of(documents, big), ["repo", "file_path"]).withColumn("x", excerpt(F.col("text"), F.col("line_start"))).where("x is not null")
+    votes = casing_vote(nodes).join(naming_examples(nodes), ["repo", "group"], "left")
     parts = [
         _lines(hist, "stack", F.concat_ws("", F.lit("- "), "module", F.lit(" ("), "files", F.lit(" files)")), [F.desc("files"), "module"], 20),
         _lines(layout_dirs(nodes), "layout", F.concat_ws("", "dir", F.lit("/ ("), "files", F.lit(")")), ["dir"], 40),
-        _lines(casing_vote(nodes), "naming", F.concat_ws("", "group", F.lit(": "), "casing", F.lit(" "), "n", F.lit("/"), "total"), ["group"], 10),
+        _lines(votes, "naming", F.concat_ws("", "group", F.lit(": "), "casing", F.lit(" "), "n", F.lit("/"), "total", F.lit(". examples: "), "examples"), ["group"], 10),
         _lines(signature_samples(nodes), "signatures", F.col("signature"), ["signature"], 30),
         _lines(named(pick("types")), "types", block, ["file_path"], 4),
         _lines(named(entry_points(nodes)), "entry points", block, ["file_path"], 4),
         _lines(named(pick("decorators")), "decorators", block, ["file_path"], 2),
         _lines(big, "classes", block, [F.desc("span"), "file_path"], 4),
-        _lines(named(call_sites(att, nodes)), "libraries", block, ["file_path"], 7),
+        _lines(named(_sites(imports)), "libraries", block, ["file_path"], 7),
         _lines(named(pick("errors")), "errors", block, ["file_path"], 4),
         _lines(named(test_files(nodes)), "tests", block, ["file_path"], 3),
         _lines(docstring_style(documents).where("style is not null"), "docstrings", F.concat(F.lit("style: "), F.col("style")), ["style"], 1),
     ]
-    return reduce(DataFrame.unionByName, parts).where(F.trim("evidence") != "").withColumn("evidence", F.substring("evidence", 1, SECTION_CHARS))
+    every = reduce(DataFrame.unionByName, parts).withColumn("_o", F.lit(1))
+    if declared is not None:
+        every = every.unionByName(declared.select("repo", "section", "evidence", F.when(F.col("section") == "stack", 0).otherwise(2).alias("_o")))
+    rows = F.array_sort(F.collect_list(F.struct("_o", "evidence")))  # two at most
+    every = every.where(F.trim("evidence") != "").groupBy("repo", "section").agg(F.array_join(F.transform(rows, lambda r: r["evidence"]), "\n").alias("evidence"))
+    return every.withColumn("evidence", F.substring("evidence", 1, SECTION_CHARS))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from symbolake.functions import text as X
 from symbolake.operators import graph as G
+from symbolake.operators import incremental as I
 from symbolake.operators import reports as R
 from symbolake.operators import resolve as D
 from symbolake.runtime import table
@@ -83,19 +84,15 @@ def most_depended(spark, d):
     return R.most_depended(nodes, edges)
 
 
-def _raw(spark, d):
-    """The nodes, and the edges as they are: walks look up what they meet."""
-    return G.node_set(table(spark, d, "symbols")), table(spark, d, "edges")
-
-
 def ripple_focus(spark, d):
-    nodes, edges = _raw(spark, d)
-    return G.hops(G.ripple(_focus(_graph(spark, d)[1]), edges, nodes), nodes).select("symbol_id", "name", "kind", "repo", "location", "depth", "via")
+    # Walks look up what they meet, so they read the tables as they are.
+    symbols, edges = table(spark, d, "symbols"), table(spark, d, "edges")
+    return G.hops(G.ripple(_focus(_graph(spark, d)[1]), edges, symbols), G.node_set(symbols)).select("symbol_id", "name", "kind", "repo", "location", "depth", "via")
 
 
 def ripple_by_repo(spark, d):
-    nodes, edges = _raw(spark, d)
-    return R.by_repo(G.ripple(_focus(_graph(spark, d)[1]), edges, nodes), nodes)
+    symbols, edges = table(spark, d, "symbols"), table(spark, d, "edges")
+    return R.by_repo(G.ripple(_focus(_graph(spark, d)[1]), edges, symbols), G.node_set(symbols))
 
 
 def _caller(edges: DataFrame) -> DataFrame:
@@ -103,8 +100,7 @@ def _caller(edges: DataFrame) -> DataFrame:
 
 
 def thread_focus(spark, d):
-    nodes, edges = _raw(spark, d)
-    return G.thread(_caller(_graph(spark, d)[1]), edges, nodes)
+    return G.thread(_caller(_graph(spark, d)[1]), table(spark, d, "edges"), table(spark, d, "symbols"))
 
 
 def zoom_focus(spark, d):
@@ -117,6 +113,13 @@ def ppr_top(spark, d):
     return rank.select("symbol_id", F.round("rank", 9).alias("rank")).orderBy(F.desc("rank"), "symbol_id").limit(50)
 
 
+def ppr_joined(spark, d):
+    """`ppr_top` by the join loop that large graphs take."""
+    focus, edges, _ = _at(spark, d)
+    rank = G.pagerank([r[0] for r in focus.collect()], edges, kernel_edges=-1)
+    return rank.select("symbol_id", F.round("rank", 9).alias("rank")).orderBy(F.desc("rank"), "symbol_id").limit(50)
+
+
 def context_pack_focus(spark, d):
     return G.context_pack(*_at(spark, d))
 
@@ -174,6 +177,18 @@ def resolve_edges(spark, d):
     return D.resolve(s, D.provisional(e, s))[0].select("src_id", "dst_id", "kind", F.col("confidence").cast("double").alias("confidence"), "cross_repo", "n")
 
 
+def incremental_index(spark, d):
+    """The graph after the files of all change sets were read again or dropped: what `incremental.merge` binds."""
+    s, e = table(spark, d, "symbols"), table(spark, d, "edges")
+    raw = D.provisional(e, s)
+    changed = I.change_set_files(table(spark, d, "change_sets")).where(F.col("change") != "added")
+    diff = changed.groupBy("repo", F.col("file_path").alias("path")).agg(F.min("change").alias("status"))  # deleted before modified
+    again = s.join(diff.where("status = 'modified'").select("repo", F.col("path").alias("file_path")), I.FILE, "left_semi")
+    parsed = raw.join(again.select(F.col("symbol_id").alias("src_id")).distinct(), "src_id", "left_semi")
+    bound = I.merge(s, raw, diff, again, parsed)[2]
+    return bound.select("src_id", "dst_id", "kind", F.col("confidence").cast("double").alias("confidence"), "cross_repo", "n")
+
+
 def resolve_stats(spark, d):
     s, e = table(spark, d, "symbols"), table(spark, d, "edges")
     return D.resolve(s, D.provisional(e, s))[1]
@@ -183,8 +198,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         nodes_dedup, symbols_last, edges_first, edges_attach, dangling_count, graph_counts, node_projection, token_estimate, repos_overview, lookup_focus, find_symbols, find_in_repo,
-        dependents_count, most_depended, ripple_focus, ripple_by_repo, thread_focus, zoom_focus, ppr_top, context_pack_focus, flow_reach_top, kind_histogram, edge_summary, stats_by_repo,
-        cross_repo_targets, importer_repos, suggest_questions, enrich_select, enrich_all, node_cards, resolve_edges, resolve_stats,
+        dependents_count, most_depended, ripple_focus, ripple_by_repo, thread_focus, zoom_focus, ppr_top, ppr_joined, context_pack_focus, flow_reach_top, kind_histogram, edge_summary, stats_by_repo,
+        cross_repo_targets, importer_repos, suggest_questions, enrich_select, enrich_all, node_cards, resolve_edges, incremental_index, resolve_stats,
     )
 }
 
@@ -219,6 +234,12 @@ cal AS (SELECT p.src_id, p.src_package, n.id AS dst_id, p.src_package AS dst_pac
 bound AS (SELECT * FROM imp WHERE dst_id IS NOT NULL UNION ALL SELECT * FROM cal
   UNION ALL SELECT src_id, src_package, dst_id, dst_package, kind, confidence, ordinal FROM prov WHERE kind NOT IN ('Imports', 'Calls'))
 """
+_RANKS = f"""WITH RECURSIVE {_FOCUS}, e AS (SELECT src_id AS a, dst_id AS b FROM att WHERE kind IN ('Calls', 'Imports')), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        deg AS (SELECT a, count(*) AS d FROM u GROUP BY a), l AS (SELECT u.a, u.b, count(*) / any_value(d) AS p FROM u JOIN deg ON deg.a = u.a GROUP BY u.a, u.b),
+        lnk AS (SELECT a, b, 0.85 * p AS p, 0 AS base FROM l UNION ALL SELECT '!', id, 0.15, 1 FROM focus UNION ALL SELECT '!', '!', 1.0, 1),
+        pr AS (SELECT 0 AS i, id, 1.0::DOUBLE AS r FROM focus UNION ALL SELECT 0, '!', 1.0::DOUBLE
+          UNION ALL SELECT pr.i + 1, lnk.b, sum(pr.r * lnk.p) FROM pr JOIN lnk ON lnk.a = pr.id WHERE pr.i < 40 GROUP BY pr.i, lnk.b)"""
+_TOP_RANKS = "SELECT id AS symbol_id, round(r, 9) AS rank FROM pr WHERE i = 40 AND id <> '!' AND r > 0 ORDER BY rank DESC, symbol_id LIMIT 50"
 SQL = {
     "nodes_dedup": f"WITH {_NODES} SELECT symbol_id, name, kind, descriptor, ordinal FROM nodes",
     "symbols_last": "SELECT symbol_id, name, ordinal, line_start FROM symbols QUALIFY row_number() OVER (PARTITION BY symbol_id ORDER BY ordinal DESC) = 1",
@@ -245,12 +266,15 @@ SQL = {
         UNION ALL SELECT 'member', dst_id FROM att, focus WHERE src_id = id AND kind = 'Contains' UNION ALL SELECT 'callee', dst_id FROM att, focus WHERE src_id = id AND kind = 'Calls'
         UNION ALL SELECT 'caller', src_id FROM att, focus WHERE dst_id = id AND kind = 'Calls' UNION ALL SELECT 'importer', src_id FROM att, focus WHERE dst_id = id AND kind = 'Imports')
         SELECT relation, symbol_id, n.name, {_LOC} FROM z JOIN nodes n USING (symbol_id)""",
-    "ppr_top": f"""WITH RECURSIVE {_FOCUS}, e AS (SELECT src_id AS a, dst_id AS b FROM att WHERE kind IN ('Calls', 'Imports')), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-        deg AS (SELECT a, count(*) AS d FROM u GROUP BY a), l AS (SELECT u.a, u.b, count(*) / any_value(d) AS p FROM u JOIN deg ON deg.a = u.a GROUP BY u.a, u.b),
-        lnk AS (SELECT a, b, 0.85 * p AS p, 0 AS base FROM l UNION ALL SELECT '!', id, 0.15, 1 FROM focus UNION ALL SELECT '!', '!', 1.0, 1),
-        pr AS (SELECT 0 AS i, id, 1.0::DOUBLE AS r FROM focus UNION ALL SELECT 0, '!', 1.0::DOUBLE
-          UNION ALL SELECT pr.i + 1, lnk.b, sum(pr.r * lnk.p) FROM pr JOIN lnk ON lnk.a = pr.id WHERE pr.i < 40 GROUP BY pr.i, lnk.b)
-        SELECT id AS symbol_id, round(r, 9) AS rank FROM pr WHERE i = 40 AND id <> '!' AND r > 0 ORDER BY rank DESC, symbol_id LIMIT 50""",
+    "ppr_top": f"{_RANKS} {_TOP_RANKS}",
+    "ppr_joined": f"{_RANKS} {_TOP_RANKS}",
+    "context_pack_focus": f"""{_RANKS},
+        size AS (SELECT symbol_id, kind, ordinal, (strlen(coalesce(signature, '')) + strlen(file_path) + 24) // 4 AS t FROM nodes),
+        cand AS MATERIALIZED (SELECT row_number() OVER (ORDER BY round(pr.r, 12) DESC, n.ordinal, n.symbol_id) AS rn, n.symbol_id, n.t FROM pr JOIN size n ON n.symbol_id = pr.id
+          WHERE pr.i = 40 AND pr.r > 0 AND n.kind <> 'File' AND n.symbol_id <> (SELECT id FROM focus) AND n.t <= 1500 - (SELECT t FROM size JOIN focus ON symbol_id = id)),
+        pack AS (SELECT 0::BIGINT AS rn, symbol_id, t, 1500 - t AS room, 0 AS position, true AS taken FROM size JOIN focus ON symbol_id = id
+          UNION ALL SELECT c.rn, c.symbol_id, c.t, CASE WHEN c.t <= p.room THEN p.room - c.t ELSE p.room END, p.position + (c.t <= p.room)::INT, c.t <= p.room FROM pack p JOIN cand c ON c.rn = p.rn + 1)
+        SELECT position, symbol_id, t AS est_tokens FROM pack WHERE taken""",
     "flow_reach_top": f"""WITH RECURSIVE {_GRAPH}, adj AS (SELECT DISTINCT src_id AS a, dst_id AS b FROM att WHERE kind = 'Calls'),
         o AS (SELECT symbol_id FROM nodes WHERE kind IN ('Function', 'Method') AND NOT regexp_matches(lower(file_path), '/test|test_|_test\\.|\\.test\\.|\\.spec\\.|/tests/|/spec/|__tests__|/examples|/legacy|/compat|/migration|/revision|/__init__\\.py$|package-info\\.java$|mod\\.rs$|\\.d\\.ts$')),
         w AS (SELECT symbol_id AS origin, symbol_id AS id, 0 AS d FROM o UNION SELECT w.origin, adj.b, w.d + 1 FROM w JOIN adj ON adj.a = w.id WHERE w.d < 4)
@@ -276,6 +300,15 @@ SQL = {
     "node_cards": f"""WITH {_NODES}, e AS (SELECT * FROM enrichment QUALIFY row_number() OVER (PARTITION BY symbol_id ORDER BY ordinal DESC) = 1)
         SELECT n.symbol_id, e.summary, array_to_string(coalesce(e.queries, []), ' | ') AS queries FROM nodes n LEFT JOIN e ON e.symbol_id = n.symbol_id""",
     "resolve_edges": f"WITH {_NODES}, {_PROV} SELECT src_id, dst_id, kind, round(confidence::DOUBLE, 6) AS confidence, coalesce(src_package <> dst_package, false) AS cross_repo, count(*) AS n FROM bound GROUP BY ALL",
+    "incremental_index": f"""WITH {_NODES},
+        lists AS (SELECT repo, 'modified' AS status, unnest(modified) AS p FROM change_sets UNION ALL SELECT repo, 'deleted', unnest(deleted) FROM change_sets),
+        diff AS (SELECT repo, replace(p, '\\', '/') AS file_path, min(status) AS status FROM lists WHERE p IS NOT NULL AND repo IS NOT NULL GROUP BY ALL),
+        gone AS (SELECT s.symbol_id FROM symbols s JOIN diff USING (repo, file_path)),
+        again AS (SELECT s.symbol_id FROM symbols s JOIN diff USING (repo, file_path) WHERE status = 'modified'),
+        left_over AS (SELECT s.* FROM symbols s WHERE NOT EXISTS (SELECT 1 FROM diff d WHERE d.repo = s.repo AND d.file_path = s.file_path AND d.status = 'deleted')),
+        last AS (SELECT * FROM left_over WHERE symbol_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol_id ORDER BY ordinal DESC) = 1),
+        {_PROV.replace("FROM nodes", "FROM last").replace("ON t.symbol_id = e.dst_id)", "ON t.symbol_id = e.dst_id WHERE e.src_id NOT IN (SELECT symbol_id FROM gone WHERE symbol_id IS NOT NULL) OR e.src_id IN (SELECT symbol_id FROM again))")}
+        SELECT src_id, dst_id, kind, round(confidence::DOUBLE, 6) AS confidence, coalesce(src_package <> dst_package, false) AS cross_repo, count(*) AS n FROM bound GROUP BY ALL""",
     "resolve_stats": f"""WITH {_NODES}, {_PROV} SELECT (SELECT count(*) FROM imp WHERE dst_id IS NOT NULL) AS resolved_imports, (SELECT count(*) FROM cal) AS resolved_calls,
         (SELECT count(*) FROM bound WHERE src_package <> dst_package) AS cross_repo_edges, (SELECT count(*) FROM imp WHERE dst_id IS NULL) AS unresolved_imports""",
 }

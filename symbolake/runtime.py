@@ -10,7 +10,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -55,6 +55,13 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(df: DataFrame, label: str = "t") -> tuple[DataFrame, int]:
+    """`materialize`, and the number of rows, counted as they are written."""
+    rows = Observation()
+    out = materialize(df.observe(rows, F.count(F.lit(1)).alias("n")), label)
+    return out, int(rows.get["n"])
+
+
 #: Estimated bytes below which no key is heavy: all rows of such a table are one task's work.
 LIGHT_BYTES = 16 << 20
 

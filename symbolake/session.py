@@ -20,7 +20,7 @@ from symbolake.operators.resolve import resolve
 from symbolake.providers import complete_all
 from symbolake.runtime import materialize
 from symbolake.sources import git, manifests
-from symbolake.sources.repo_walk import parse, read_trees
+from symbolake.sources.repo_walk import parse, parse_files, read_trees
 from symbolake.sources.store import GraphStore
 
 
@@ -63,7 +63,7 @@ class Session:
             return {"changed": 0, "version": self.store.version()}
         diff = self.spark.createDataFrame([(name, p, s) for s in ("added", "modified", "deleted") for p in getattr(change, s)], "repo string, path string, status string")
         files = read_trees(self.spark, [root])
-        symbols, raw = parse(files.join(diff.where(F.col("status") != "deleted").select("repo", "path"), ["repo", "path"], "left_semi"))
+        symbols, raw = parse_files(self.spark, [root], [(name, p) for p in [*change.added, *change.modified]])
         old_s, old_r = self.store.read("symbols"), self.store.read("raw_edges")
         kept, edges = I.drop_files(old_s, old_r, diff.where(F.col("status") != "added").select("repo", F.col("path").alias("file_path")))
         stale = I.stale_symbols(symbols, diff.select("repo", F.col("path").alias("file_path"), F.col("status").alias("change")), self.store.read("repo_meta"))
@@ -106,9 +106,9 @@ class Session:
 
     def _guide(self, symbols, edges, files, roots) -> DataFrame:
         texts = files.select("repo", F.col("path").alias("file_path"), F.col("content").alias("text"))
-        declared = [(repo_name(r), "declared", t[: S.SECTION_CHARS]) for r in roots if (t := manifests.evidence(r))]
+        declared = [(repo_name(r), x, t) for r in roots for x, t in (("stack", manifests.declared(r)), ("naming", manifests.formatting(r))) if t]
         declared = self.spark.createDataFrame(declared, "repo string, section string, evidence string")
-        ev = S.guide_evidence(symbols, edges, texts).unionByName(declared).withColumn("key", F.concat_ws("\n", "repo", "section"))
+        ev = S.guide_evidence(symbols, edges, texts, declared).withColumn("key", F.concat_ws("\n", "repo", "section"))
         said = complete_all(ev, "key", "evidence", "guide", self.provider).where(F.col("reply").isNotNull() & ~F.lower("reply").contains("no convention"))
         part = F.split("key", "\n")
         rows = F.array_sort(F.collect_list(F.struct(part[1].alias("s"), "reply")))  # at most ten sections

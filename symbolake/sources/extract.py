@@ -12,6 +12,8 @@ import re
 from bisect import bisect_right
 from dataclasses import dataclass, field
 
+from symbolake.sources.scan import template_end
+
 # The scheme of extracted ids, and what their descriptors end with by kind.
 SCHEME = "tsindex"
 SUFFIX = {"Class": "#", "Interface": "#", "Struct": "#", "Enum": "#", "Trait": "#", "Function": "().", "Method": "()."}
@@ -157,21 +159,35 @@ def _python_lines(out: Out, root: Scope, text: str) -> None:
 
 # ---- TypeScript and JavaScript
 
-_JS_NOISE = re.compile(r"/\*.*?(?:\*/|\Z)|//[^\n]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*(?:`|\Z)|(?<=[=(,:!&|?;\[{])\s*/(?![/*])(?:[^\\/\n\[]|\\.|\[(?:[^\\\]\n]|\\.)*\])+/[a-z]*", re.S)
+_JS_NOISE = re.compile(
+    r"/\*.*?(?:\*/|\Z)|//[^\n]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|(?P<tick>`)"
+    r"|(?:(?<=[=(,:!&|?;\[{}])|(?<=\breturn)|(?<=\btypeof)|(?<=\bcase)|(?<=\bthrow)|(?<=\bawait)|(?<=\byield)|(?<=\belse)|(?<=\bof)|(?<=\bin))\s*/(?![/*])(?:[^\\/\n\[]|\\.|\[(?:[^\\\]\n]|\\.)*\])+/[a-z]*",
+    re.S,
+)
 _JS_TOKEN = re.compile(
     r"(?P<imp>\bimport\b(?!\s*[(.]))|(?P<exp>\bexport\s*(?:\*|\{|type\s*\{))"
     r"|(?P<fn>(?:\basync\s+)?\bfunction\b\s*\*?\s*(?P<fname>[A-Za-z_$][\w$]*))|(?P<abs>\babstract\s+)?\b(?P<cls>class|interface)\s+(?P<cname>[A-Za-z_$][\w$]*)"
     r"|(?P<id>[A-Za-z_$\#][\w$]*)\s*(?P<gen><[^<>()=;]*>)?\s*(?P<opt>\?\.)?\("
 )
-_MODIFIERS = re.compile(r"(?:(?:public|private|protected|static|async|readonly|override|abstract|get|set|declare)\s+|\*\s*)*\Z")
+_MODIFIERS = frozenset("public private protected static async readonly override abstract get set declare".split())
 _NO_CALL = frozenset("if for while switch catch function return typeof await void delete in of instanceof do else case throw yield super import new constructor with".split())
 
 
+def _blank_script(text: str) -> str:
+    """`_blank` of script noise, template strings with all that is inserted in them included."""
+    out, at = [], 0
+    while m := _JS_NOISE.search(text, at):
+        end = template_end(text, m.end()) if m["tick"] else m.end()
+        out += [text[at : m.start()], re.sub(r"[^\n]", " ", text[m.start() : end])]
+        at = end
+    return "".join([*out, text[at:]])
+
+
 class _Text:
     """A text with blanked noise, its bracket pairs, and positions as (line, byte column)."""
 
     def __init__(self, text: str):
-        self.raw, self.clean = text, _blank(text, _JS_NOISE)
+        self.raw, self.clean = text, _blank_script(text)
         self.pair: dict[int, int] = {}
         stack: list[int] = []
         for m in re.finditer(r"[()\[\]{}]", self.clean):
@@ -187,9 +203,36 @@ class _Text:
         line = bisect_right(self.starts, i)
         return line, len(self.raw[self.starts[line - 1] : i].encode())
 
+    def token(self, i: int) -> tuple[int, str]:
+        """Start and text of the word or character that ends before i, blanks apart; '' at the text's start."""
+        while i > 0 and self.clean[i - 1].isspace():
+            i -= 1
+        k = i
+        while k > 0 and (self.clean[k - 1].isalnum() or self.clean[k - 1] in "_$"):
+            k -= 1
+        return (k, self.clean[k:i]) if k < i else (max(i - 1, 0), self.clean[max(i - 1, 0) : i])
+
     def before(self, i: int) -> str:
         """The last character that isn't blank before i."""
-        return self.clean[:i].rstrip()[-1:] if i < 200 else (self.clean[i - 200 : i].rstrip() or self.clean[:i].rstrip())[-1:]
+        return self.token(i)[1][-1:]
+
+    def lead(self, i: int) -> int:
+        """Where the modifiers of a method begin whose name stands at i."""
+        while (t := self.token(i))[1] == "*" or t[1] in _MODIFIERS:
+            i = t[0]
+        return i
+
+    def starts_statement(self, i: int) -> bool:
+        """Whether a `function` at i stands on a line of its own or behind a word of an export."""
+        k, word = self.token(i)
+        return word in ("export", "default", "declare") or "\n" in self.clean[k + len(word) : i]
+
+    def is_new(self, i: int) -> bool:
+        """Whether `new` and names with dots stand before i."""
+        k, word = self.token(i)
+        while word == ".":
+            k, word = self.token(self.token(k)[0])
+        return word == "new"
 
     def body(self, i: int) -> int | None:
         """The opening brace of a body after position i (behind a parameter list or head); None for a declaration."""
@@ -218,7 +261,7 @@ def _script(out: Out, root: Scope, text: str) -> None:
         a, b = t.at(start), t.at(end)
         stack.append((end, _enter(out, stack[-1][1], name, kind, (*a, *b), first)))
 
-    holders = sorted(i for i in t.pair if t.clean[i] == "{")
+    holders, seen, around = sorted(i for i in t.pair if t.clean[i] == "{"), 0, []  # braces, how many were met, and those still open
     for m in _JS_TOKEN.finditer(t.clean):
         i = m.start()
         while stack[-1][0] <= i:
@@ -233,7 +276,7 @@ def _script(out: Out, root: Scope, text: str) -> None:
         elif m["fn"]:
             lead = t.before(i)
             brace = t.body(t.pair.get(t.clean.find("(", m.end()), m.end()) + 1)
-            statement = lead in ("", "{", "}", ";") or re.search(r"(?:\bexport|\bdefault|\bdeclare|\n)\s*\Z", t.clean[max(0, i - 40) : i]) and lead not in "=(,:?!&|["
+            statement = lead in ("", "{", "}", ";") or t.starts_statement(i) and lead not in "=(,:?!&|["
             if brace is not None and statement:
                 define(i, m["fname"], "Function", brace)
         elif m["cls"]:
@@ -248,13 +291,15 @@ def _script(out: Out, root: Scope, text: str) -> None:
                 define(m.start("cls"), m["cname"], "Class" if m["cls"] == "class" else "Interface", brace)
         elif m["id"]:
             name, open_ = m["id"], m.end() - 1
-            k = bisect_right(holders, i) - 1
-            while k >= 0 and t.pair[holders[k]] < i:
-                k -= 1
-            brace = holders[k] if k >= 0 else -1
+            while seen < len(holders) and holders[seen] <= i:
+                around.append(holders[seen])
+                seen += 1
+            while around and t.pair[around[-1]] < i:
+                around.pop()
+            brace = around[-1] if around else -1
             if brace in shapes:
                 continue
-            lead = _MODIFIERS.search(t.clean, max(brace + 1, i - 120), i).start()
+            lead = max(t.lead(i), brace + 1)
             mark = t.before(lead)
             literal = brace >= 0 and brace not in members and t.before(brace) in ("=", "(", ",", ":", "[", "?", "n")
             if name not in _NO_CALL - {"constructor", "delete", "get", "set"} and (brace in members and mark in ("{", "}", ";", ")") or literal and mark in ("{", ",")):
@@ -265,7 +310,7 @@ def _script(out: Out, root: Scope, text: str) -> None:
                     continue
                 if inner is None and brace in members:
                     continue  # a declaration
-            if name not in _NO_CALL and not re.search(r"\bnew\s+(?:[\w$]+\s*\.\s*)*\Z", t.clean[max(0, i - 80) : i]) and not m["opt"] or m["opt"] and name not in _NO_CALL:
+            if name not in _NO_CALL and not t.is_new(i) and not m["opt"] or m["opt"] and name not in _NO_CALL:
                 out.calls(stack[-1][1].caller, name)
 
 

@@ -6,10 +6,10 @@ import json
 import tomllib
 from pathlib import Path
 
-# Files whose presence or content states naming and format conventions.
-SETTINGS = [".editorconfig", "ruff.toml", ".ruff.toml", ".prettierrc", ".prettierrc.json", ".eslintrc", ".eslintrc.json", "biome.json", "tsconfig.json", "setup.cfg"]
-#: Dependencies shown at most, and characters of a settings file.
-MOST, EXCERPT = 40, 1500
+# Keys of .editorconfig and of the formatters' part of pyproject.toml that state a convention.
+EDITOR_KEYS, FORMATTER_KEYS = ("indent_style", "indent_size", "max_line_length"), ("line-length", "quote-style")
+#: Dependencies shown at most.
+MOST = 40
 
 
 def _text(root: str, name: str) -> str | None:
@@ -37,15 +37,15 @@ def dependencies(root: str) -> list[str]:
     return out[:MOST]
 
 
-def settings(root: str) -> dict[str, str]:
-    """Beginnings of the settings files that exist, by name."""
-    return {n: t[:EXCERPT] for n in SETTINGS if (t := _text(root, n)) and t.strip()}
+def declared(root: str) -> str:
+    """The declared dependencies as evidence text, blank without any."""
+    deps = dependencies(root)
+    return "\n".join(["Declared dependencies:", *(f"- {d}" for d in deps)]) if deps else ""
 
 
-def evidence(root: str) -> str:
-    """Both as one evidence text, blank if there is neither."""
-    deps, conf = dependencies(root), settings(root)
-    lines = ["Declared dependencies:", *(f"- {d}" for d in deps)] if deps else []
-    for name, text in conf.items():
-        lines += [f"### {name}", "```", text.rstrip(), "```"]
-    return "\n".join(lines)
+def formatting(root: str) -> str:
+    """What editor and formatter settings state as evidence text, blank without any."""
+    lines = [f"editorconfig: {s}" for x in (_text(root, ".editorconfig") or "").splitlines() if (s := x.strip()).startswith(EDITOR_KEYS)]
+    project = [x.strip() for x in (_text(root, "pyproject.toml") or "").splitlines()]
+    first = (next((x for x in project if x.startswith(k)), None) for k in FORMATTER_KEYS)
+    return "\n".join([*lines, *(f"formatter: {x}" for x in first if x)])

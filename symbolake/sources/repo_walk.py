@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import fnmatch
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from pathlib import Path
@@ -16,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from symbolake.operators.resolve import dedup_symbols
 from symbolake.runtime import materialize
 from symbolake.sources.extract import extract, language_of
+from symbolake.sources.ignore import Rules
 
 #: Files of one input partition.
 CHUNK = 256
@@ -23,37 +24,17 @@ CHUNK = 256
 PLACES = 1 << 22
 
 
-def _ignored(root: Path, rel: str, rules: list[tuple[str, str, bool]]) -> bool:
-    """Whether ignore rules (folder, pattern, negated), later ones first, exclude a relative path."""
-    verdict = False
-    for folder, pattern, keep in rules:
-        if folder and not (rel == folder or rel.startswith(folder + "/")):
-            continue
-        part = rel[len(folder) + 1 :] if folder else rel
-        pat = pattern.rstrip("/")
-        hit = fnmatch.fnmatch(part, pat.lstrip("/")) or ("/" not in pat and any(fnmatch.fnmatch(x, pat) for x in part.split("/"))) or part.startswith(pat.strip("/") + "/")
-        if hit:
-            verdict = not keep
-    return verdict
-
-
 def walk(root: str) -> list[str]:
     """Relative paths of the supported files under `root`, in path order; hidden ones too, ignored ones not."""
-    base, out = Path(root), []
-    rules: list[tuple[str, str, bool]] = []
+    base, out, rules = Path(root), [], Rules()
     for folder, dirs, files in os.walk(base):
         rel = "" if Path(folder) == base else Path(folder).relative_to(base).as_posix()
+        below = lambda name: f"{rel}/{name}" if rel else name
         for name in (".gitignore", ".ignore"):
             if name in files:
-                for line in (Path(folder) / name).read_text(errors="replace").splitlines():
-                    s = line.strip()
-                    if s and not s.startswith("#"):
-                        rules.append((rel, s.removeprefix("!"), s.startswith("!")))
-        dirs[:] = sorted(d for d in dirs if d != ".git" and not _ignored(base, f"{rel}/{d}".lstrip("/"), rules))
-        for f in files:
-            path = f"{rel}/{f}".lstrip("/")
-            if language_of(f) and (Path(folder) / f).is_file() and not _ignored(base, path, rules):
-                out.append(path)
+                rules.add(rel, (Path(folder) / name).read_text(errors="replace").splitlines())
+        dirs[:] = sorted(d for d in dirs if d != ".git" and not rules.ignores(below(d), True))
+        out += [below(f) for f in files if language_of(f) and (Path(folder) / f).is_file() and not rules.ignores(below(f), False)]
     return sorted(out)
 
 
@@ -65,10 +46,11 @@ class _Files(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.roots = options["path"].split(os.pathsep)
+        self.only = {(repo, path) for repo, path in json.loads(options["only"])} if "only" in options else None
 
     def partitions(self) -> list[_Files]:
         files = [(os.path.basename(os.path.abspath(r)), r, p, 0) for r in self.roots for p in walk(r)]
-        files = [(repo, r, p, n) for n, (repo, r, p, _) in enumerate(files)]
+        files = [(repo, r, p, n) for n, (repo, r, p, _) in enumerate(files) if self.only is None or (repo, p) in self.only]
         return [_Files(files[i : i + CHUNK]) for i in range(0, len(files), CHUNK)] or [_Files([])]
 
     def read(self, partition: _Files) -> Iterator[tuple]:
@@ -83,7 +65,8 @@ class _Reader(DataSourceReader):
 class SourceTree(DataSource):
     """`spark.read.format("source_tree").load(roots)`: (repo, path, file_no, content, hash), one partition per CHUNK files.
 
-    Several roots are joined by the system's path separator; a repo is named by its folder.
+    Several roots are joined by the system's path separator; a repo is named by its folder. Option `only`: a JSON list of
+    [repo, path] of the files to read; no other file is opened.
     """
 
     @classmethod
@@ -97,9 +80,11 @@ class SourceTree(DataSource):
         return _Reader(self.options)
 
 
-def read_trees(spark: SparkSession, roots: list[str]) -> DataFrame:
+def read_trees(spark: SparkSession, roots: list[str], only: list[tuple[str, str]] | None = None) -> DataFrame:
+    """The files of the trees, or only the listed (repo, path) among them; a file's number is its place among all."""
     spark.dataSource.register(SourceTree)
-    return spark.read.format("source_tree").load(os.pathsep.join(roots))
+    reader = spark.read.format("source_tree")
+    return (reader if only is None else reader.option("only", json.dumps(only))).load(os.pathsep.join(roots))
 
 
 _SYMBOL = "symbol_id string, scheme string, package_manager string, package string, version string, descriptor string, name string, kind string, language string, repo string, file_path string, line_start int, col_start int, line_end int, col_end int, signature string, docstring string"
@@ -132,6 +117,6 @@ def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return dedup_symbols(symbols), edges
 
 
-def parse_files(files: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """`parse` of the listed (repo, path) alone; missing and unsupported ones are skipped."""
-    return parse(files.join(wanted.select("repo", "path").distinct(), ["repo", "path"], "left_semi"))
+def parse_files(spark: SparkSession, roots: list[str], wanted: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """`parse` of the listed (repo, path) alone; missing and unsupported ones are skipped and no others are read."""
+    return parse(read_trees(spark, roots, wanted))

@@ -12,7 +12,8 @@ import pytest
 from symbolake import cli, config, rpc
 from symbolake.providers import Offline
 from symbolake.session import Session
-from symbolake.sources import manifests
+from symbolake.sources import extract as extraction
+from symbolake.sources import manifests, repo_walk
 from symbolake.sources.extract import extract
 from symbolake.sources.repo_walk import parse, read_trees, walk
 from symbolake.sources.store import GraphStore
@@ -202,12 +203,76 @@ def test_config(tmp_path, monkeypatch):
     assert config.gate_model_steps({"embed": True, "enrich": True}, None) == {"embed": True, "enrich": False}
 
 
+def test_ignore_rules(tmp_path):
+    paths = ["a.py", "b/a.py", "b/c/a.py", "build/x.py", "b/build/y.py", "docs/k/z.py", "docs/z.py", "keep/no.py", "keep/yes.py", "x1.py", "x12.py", "sp ace.py", "sub/only.py", "only.py", "deep/p/q/r.ts", "deep/r.ts"]
+    write(tmp_path, {**dict.fromkeys(paths, "x = 1\n"), ".gitignore": "# no\n\n/build/\ndocs/*.py\n*/no.py\n!yes.py\nx?.py\nb/**/a.py\ndeep/**/r.ts\nsub/\n", "sub/.gitignore": "!only.py\n", "keep/.ignore": "*\n!yes.py\n"})
+    assert repo_walk.walk(str(tmp_path)) == ["a.py", "b/build/y.py", "docs/k/z.py", "keep/yes.py", "only.py", "sp ace.py", "x12.py"]
+
+
+def test_only_listed_files_are_read(spark, tmp_path):
+    write(tmp_path, {"r/a.py": "def a(): pass\n", "r/b.py": "def b(): pass\n", "r/c.txt": "x"})
+    (tmp_path / "r/b.py").chmod(0)  # reading it would lose it
+    s, _ = repo_walk.parse_files(spark, [f"{tmp_path}/r"], [("r", "a.py"), ("r", "gone.py"), ("r", "c.txt")])
+    assert {x.name for x in s.collect()} == {"a.py", "a"}
+
+
+def test_script_scan_takes_linear_time_and_knows_templates():
+    import time
+
+    def took(n):
+        js = "class A {\n" + "".join(f"  m{i}(x) {{ return f(x, {{ a: `${{g(`}}`)}}` }}) }}\n" for i in range(n)) + "}\n"
+        began = time.perf_counter()
+        out = extraction.extract("r", "a.ts", js)
+        assert len(out.symbols) == n + 2
+        return time.perf_counter() - began
+
+    took(500)
+    assert took(4000) < 8 * 4 * max(took(500), 0.005)
+    out = extraction.extract("r", "a.js", "export function a(s) { return /`{/.test(s); }\nconst o = { b(x) { new x.y.Z(1); call(2); } };\nfunction c() {}")
+    assert [s[6] for s in out.symbols] == ["a.js", "a", "b", "c"] and not any("Z" in str(e) for e in out.edges)
+
+
+def test_chat_provider(spark):
+    import http.server
+    import threading
+
+    from symbolake import providers
+
+    asked = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            asked.append((self.path, self.headers.get("Authorization"), body["model"], body["max_tokens"]))
+            text = body["messages"][1]["content"]
+            code = 503 if len(asked) == 1 else 400 if text == "bad" else 200
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(json.dumps({"choices": [{"message": {"content": text.upper()}}], "usage": {"prompt_tokens": 5, "completion_tokens": 2}}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    make = providers.provider_of("m", f"http://127.0.0.1:{server.server_port}/v1/", "k")
+    client = make()
+    assert client.complete("s", "hello", 7) == "HELLO" and client.used == {"prompt": 5, "reply": 2, "calls": 1}
+    assert asked == [("/v1/chat/completions", "Bearer k", "m", 7)] * 2  # the first attempt failed
+    rows = spark.createDataFrame([("a", "x"), ("b", "bad")], "k string, p string")
+    assert {r.k: r.reply for r in providers.complete_all(rows, "k", "p", "summary", make).collect()} == {"a": "X", "b": None}
+    server.shutdown()
+    assert providers.provider_of("offline", None) is providers.Offline and providers.provider_of("none", None) is None
+    with pytest.raises(ValueError, match="llm_base_url"):
+        providers.provider_of("m", None)
+
+
 def test_manifests(tmp_path):
     write(tmp_path, {"pyproject.toml": '[project]\ndependencies = ["numpy>=2", "x"]\n', "package.json": '{"dependencies": {"react": "^18", "odd": 1}}', ".editorconfig": "indent_size = 4\n"})
     assert manifests.dependencies(str(tmp_path)) == ["numpy>=2", "x", "react ^18", "odd"]
-    assert "indent_size" in manifests.evidence(str(tmp_path))
+    assert manifests.declared(str(tmp_path)).startswith("Declared dependencies:\n- numpy>=2") and manifests.formatting(str(tmp_path)) == "editorconfig: indent_size = 4"
     write(tmp_path, {"pyproject.toml": "= no", "package.json": "[]"})
-    assert manifests.dependencies(str(tmp_path)) == [] and manifests.dependencies(str(tmp_path / "none")) == []
+    assert manifests.dependencies(str(tmp_path)) == [] and manifests.dependencies(str(tmp_path / "none")) == [] and manifests.declared(str(tmp_path)) == manifests.formatting(str(tmp_path / "none")) == ""
 
 
 def test_streaming(spark, tmp_path, monkeypatch):

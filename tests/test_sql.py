@@ -2,9 +2,9 @@
 
 import pytest
 import sqlcheck
-from symbolake.plans import data_ops, graph_queries, pipeline_queries, text_queries
+from symbolake.plans import data_ops, graph_queries, pipeline_queries, text_queries, tool_queries
 
-MODULES = (data_ops, graph_queries, text_queries, pipeline_queries)
+MODULES = (data_ops, graph_queries, text_queries, pipeline_queries, tool_queries)
 SQL = {n: (m.QUERIES[n], s) for m in MODULES for n, s in m.SQL.items()}
 REST = {n: q for m in MODULES for n, q in m.QUERIES.items() if n not in m.SQL}
 
