@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symbolake.operators import dense_counts, hierarchy, incremental_state, orphans
-from symbolake.runtime import shared_dir, table
+from symbolake.runtime import place, shared_dir, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +59,7 @@ def p5_second_run(spark: SparkSession, d: str) -> DataFrame:
     now = incremental_state.changed_paths(sets)
     start = sets.select(F.date_trunc("month", F.max("arrived_at")).cast("timestamp_ntz")).first()[0]
     before = incremental_state.changed_paths(sets.where(F.col("arrived_at") < F.lit(None if start is None else str(start)).cast("timestamp_ntz")))
-    store = incremental_state.StateStore(spark, f"{shared_dir(spark).rstrip('/')}/runs-{uuid.uuid4().hex}", incremental_state.FILE)
+    store = incremental_state.StateStore(spark, place(spark, "runs"), incremental_state.FILE)
     kinds = lambda df: df.select(*incremental_state.FILE, *(F.col(f"at_{c}").isNotNull().alias(c) for c in incremental_state.CHANGES))
     content = list(incremental_state.CHANGES)
     store.commit(store.changes(kinds(before), content))

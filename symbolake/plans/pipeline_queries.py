@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +16,7 @@ from symbolake.operators import style as S
 from symbolake.operators.resolve import resolve
 from symbolake.plans.text_queries import search_text
 from symbolake.providers import complete_all
-from symbolake.runtime import shared_dir, table
+from symbolake.runtime import place, table
 from symbolake.sources.repo_walk import parse
 from symbolake.sources.store import SCHEMAS, GraphStore
 from symbolake.streaming import maintain as M
@@ -26,10 +25,6 @@ from symbolake.streaming import maintain as M
 ITEMS = "repo string, commit string, file_path string, change string"
 
 
-def _place(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _sources(spark: SparkSession, d: str) -> DataFrame:
     """The source documents as files of a tree, numbered by path."""
     t = S.texts(table(spark, d, "documents"))
@@ -51,7 +46,7 @@ def extract_and_resolve(spark, d):
 
 def store_roundtrip(spark, d):
     """Rows per table after two commits, and of the first version again."""
-    store = GraphStore(spark, _place(spark, "store"))
+    store = GraphStore(spark, place(spark, "store"))
     s, e = table(spark, d, "symbols"), table(spark, d, "edges")
     keep = s.where("symbol_id is not null").select(*[c.name for c in SCHEMAS["symbols"]])
     store.commit(symbols=keep, edges=e)
@@ -62,10 +57,10 @@ def store_roundtrip(spark, d):
 
 def streamed_changes(spark, d):
     """The change sets read as a stream and maintained batch by batch; every item comes out once."""
-    at, out = f"{d}/change_sets.parquet", _place(spark, "stream-out")
+    at, out = f"{d}/change_sets.parquet", place(spark, "stream-out")
     schema = spark.read.parquet(at).schema
     source = spark.readStream.schema(schema)
-    M.maintain(source.parquet(at) if os.path.isdir(at) else source.option("pathGlobFilter", "change_sets.parquet").parquet(d), _place(spark, "stream-state"), out, _place(spark, "stream-checkpoint")).awaitTermination()
+    M.maintain(source.parquet(at) if os.path.isdir(at) else source.option("pathGlobFilter", "change_sets.parquet").parquet(d), place(spark, "stream-state"), out, place(spark, "stream-checkpoint")).awaitTermination()
     return spark.read.schema(ITEMS).parquet(f"{out}/batch=*")
 
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symbolake.operators import retrieval as V
 from symbolake.plans import graph_queries
 from symbolake.plans.text_queries import QUESTION, search_text
-from symbolake.runtime import shared_dir, table
+from symbolake.runtime import place, table
 from symbolake.session import Session
 from symbolake.sources.store import SCHEMAS
 
@@ -20,8 +18,8 @@ _SESSIONS: dict[tuple[str, str], Session] = {}
 
 def _session(spark: SparkSession, d: str) -> Session:
     key = spark.sparkContext.applicationId, d
-    if key not in _SESSIONS:
-        s = Session(spark, f"{shared_dir(spark).rstrip('/')}/tools-{uuid.uuid4().hex}")
+    if key not in _SESSIONS or not _SESSIONS[key].store.exists():
+        s = Session(spark, place(spark, "tools"))
         symbols = table(spark, d, "symbols").where("symbol_id is not null")
         needed = [f.name for f in SCHEMAS["symbols"] if not f.nullable]
         symbols = symbols.select(*(F.coalesce(F.col(c), F.lit("" if t == "string" else -1).cast(t)).alias(c) if c in needed else F.col(c) for c, t in symbols.dtypes))

@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -32,26 +34,46 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-#: What `materialize` wrote in this process, for `clear`.
+#: Folders of this process in the shared folder, for `clear`; the first for `scope`, too.
 _WRITTEN: list[str] = []
+_KEPT: list[str] = []
 
 
-def clear(spark: SparkSession) -> int:
-    """Deletes what `materialize` wrote so far; frames made from it can't be read any more. Returns the number of folders."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
-    while _WRITTEN:
-        at = path(_WRITTEN.pop())
+def _delete(spark: SparkSession, paths: list[str], down_to: int = 0) -> int:
+    path, conf, n = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while len(paths) > down_to:
+        at = path(paths.pop())
         n += bool(at.getFileSystem(conf).delete(at, True))
     return n
 
 
-def materialize(df: DataFrame, label: str = "t") -> DataFrame:
-    """`df` written as Parquet in the shared folder and read back, so its size is known to the planner."""
+def clear(spark: SparkSession) -> int:
+    """Deletes what this process wrote in the shared folder so far; frames made from it can't be read any more. Returns the number of folders."""
+    return _delete(spark, _WRITTEN) + _delete(spark, _KEPT)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what `materialize` wrote in it, for work whose result is no frame."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        _delete(spark, _WRITTEN, before)
+
+
+def place(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the shared folder; `clear` deletes it."""
+    _KEPT.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _KEPT[-1]
+
+
+def materialize(df: DataFrame, label: str = "t", keep: bool = False) -> DataFrame:
+    """`df` written as Parquet in the shared folder and read back, so its size is known to the planner; with `keep` beyond the `scope` it is written in."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    (_KEPT if keep else _WRITTEN).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import os
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from symbolake.operators import retrieval as V
 from symbolake.operators import style as S
 from symbolake.operators.resolve import resolve
 from symbolake.providers import complete_all
-from symbolake.runtime import materialize
+from symbolake.runtime import materialize, scope
 from symbolake.sources import git, manifests
 from symbolake.sources.repo_walk import parse, parse_files, read_trees
 from symbolake.sources.store import GraphStore
@@ -28,6 +29,17 @@ def _rows(df: DataFrame, limit: int | None = None) -> list[dict]:
     return [r.asDict(recursive=True) for r in (df if limit is None else df.limit(limit)).collect()]
 
 
+def _scoped(method):
+    """A method whose result is no frame: what it writes on the way is deleted when it ends."""
+
+    @wraps(method)
+    def run(self, *args, **kw):
+        with scope(self.spark):
+            return method(self, *args, **kw)
+
+    return run
+
+
 class Session:
     """A graph under `path` and the tools over it."""
 
@@ -37,6 +49,7 @@ class Session:
 
     # ---- building
 
+    @_scoped
     def link(self, roots: list[str], embed: bool = True, enrich: bool = False, flows: bool = False, guide: bool = False, max_enrich: int | None = None, max_flows: int | None = None) -> dict:
         """Indexes the trees together and commits all tables at once; returns counts."""
         files = read_trees(self.spark, roots)
@@ -44,6 +57,7 @@ class Session:
         commits = {repo_name(r): c for r in roots if (c := git.head_commit(r))}
         return self._finish(symbols, raw, commits, files, embed, enrich, flows, guide, max_enrich, max_flows, roots=roots)
 
+    @_scoped
     def index(self, root: str, **steps) -> dict:
         """Indexes one tree; other repos of the index stay as they are."""
         files = read_trees(self.spark, [root])
@@ -52,6 +66,7 @@ class Session:
         old_s, old_r = self.store.read("symbols").where(F.col("package") != name), self.store.read("raw_edges").where(F.col("src_package") != name)
         return self._finish(_after(old_s, symbols), _after(old_r, raw), _commit(root), files, roots=[root], **steps)
 
+    @_scoped
     def index_incremental(self, root: str, since: str | None = None, **steps) -> dict:
         """Re-reads only files that changed since the recorded (or given) commit; the result equals a full rebuild."""
         name = repo_name(root)
@@ -123,7 +138,7 @@ class Session:
             raise FileNotFoundError(f"no index in {self.store.path}; build one with `link` or `index`")
         if self._loaded is None or self._loaded[0] != version:
             nodes, edges = G.load_graph(self.spark, self.store.read("symbols"), self.store.read("edges"))
-            self._loaded = version, materialize(nodes, "nodes"), materialize(edges, "adjacency")
+            self._loaded = version, materialize(nodes, "nodes", keep=True), materialize(edges, "adjacency", keep=True)
         return self._loaded[1:]
 
     def _cards(self, nodes: DataFrame, limit: int | None = None) -> list[dict]:
@@ -134,6 +149,7 @@ class Session:
         found = G.lookup(nodes, focus).collect()
         return nodes, edges, (self.spark.createDataFrame([(found[0].symbol_id,)], "symbol_id string") if found else None)
 
+    @_scoped
     def search(self, query: str, limit: int = 12, repo: str | None = None) -> dict:
         if self.store.read("search").isEmpty():
             return {"query": query, "results": [], "note": "the index was built without embeddings"}
@@ -144,16 +160,19 @@ class Session:
     def repos(self) -> dict:
         return {"repos": _rows(G.repos(self.graph()[0]).orderBy("repo"))}
 
+    @_scoped
     def suggest(self, about: str | None = None, limit: int = 40) -> dict:
         rows = _rows(R.suggest(self.store.read("enrichment"), self.graph()[0], about, limit), limit)
         return {"total": rows[0]["total"] if rows else 0, "suggestions": [{k: r[k] for k in ("question", "symbol", "location")} for r in rows]}
 
+    @_scoped
     def find(self, query: str, limit: int = 20, repo: str | None = None) -> dict:
         nodes, _ = self.graph()
         top = G.find(nodes, query, limit, repo)
         order = {r.symbol_id: n for n, r in enumerate(top.select("symbol_id").collect())}
         return {"query": query, "results": sorted(self._cards(top, limit), key=lambda n: order[n["symbol_id"]])}
 
+    @_scoped
     def zoom(self, focus: str) -> dict:
         nodes, edges, at = self._focus(focus)
         empty = {"query": focus, "found": False, "focus": None, "container": None, "members": [], "callers": [], "callees": [], "importers": []}
@@ -164,6 +183,7 @@ class Session:
         box = by("container")
         return {**empty, "found": True, "focus": self._cards(nodes.join(at, "symbol_id"))[0], "container": box[0] if box else None, "members": by("member"), "callers": by("caller"), "callees": by("callee"), "importers": by("importer")}
 
+    @_scoped
     def ripple(self, focus: str, depth: int = G.DEPTH) -> dict:
         nodes, edges, at = self._focus(focus)
         if at is None:
@@ -174,10 +194,12 @@ class Session:
     def _hops(self, reached, nodes) -> list[dict]:
         return _rows(G.hops(reached, nodes).orderBy("depth", "repo", "name", "symbol_id"))
 
+    @_scoped
     def thread(self, focus: str, depth: int = G.DEPTH) -> dict:
         nodes, edges, at = self._focus(focus)
         return {"focus": focus, "trace": [] if at is None else self._hops(G.thread(at, edges, nodes, depth), nodes)}
 
+    @_scoped
     def flow(self, focus: str, depth: int = G.DEPTH) -> dict:
         nodes, edges, at = self._focus(focus)
         if at is None:
@@ -185,6 +207,7 @@ class Session:
         told = _rows(self.store.read("flows").join(at, "symbol_id"), 1)
         return {"focus": focus, "found": True, "narration": told[0]["narration"] if told else None, "queries": (told[0]["queries"] or []) if told else [], "trace": self._hops(G.thread(at, edges, nodes, depth), nodes)}
 
+    @_scoped
     def context_pack(self, focus: str, token_budget: int = G.BUDGET) -> dict:
         nodes, edges, at = self._focus(focus)
         if at is None:
@@ -198,6 +221,7 @@ class Session:
         text = R.combine_guides(self.store.read("style_guide"), repo).first().guide
         return {"found": bool(text), "guide": text or None}
 
+    @_scoped
     def stats(self) -> dict:
         nodes, edges = self.graph()
         return {"stats": _rows(R.stats_by_repo(nodes, edges, self.store.read("enrichment")).orderBy("repo", "kind"))}

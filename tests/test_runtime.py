@@ -1,5 +1,7 @@
 from collections import Counter
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 from symbolake import runtime as R
 
@@ -23,3 +25,31 @@ def test_materialized_frames_and_clearing(spark):
     df = R.materialize(spark.range(10).withColumn("x", F.col("id") * 2), "t")
     assert df.count() == 10 and df.agg(F.sum("x")).first()[0] == 90
     assert R.clear(spark) >= 1
+
+
+def test_scope_and_counts(spark):
+    kept = R.materialize(spark.range(3), "t", keep=True)
+    with R.scope(spark):
+        df, n = R.materialize_counted(spark.range(7), "t")
+        assert n == df.count() == 7
+        at = R._WRITTEN[-1].removeprefix("file://")
+        assert Path(at).exists()
+    assert not Path(at).exists() and kept.count() == 3
+    place = R.place(spark, "x")
+    spark.range(1).write.parquet(place)
+    assert R.clear(spark) >= 2 and not Path(place.removeprefix("file://")).exists()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            master = "local-cluster[3,2,1024]"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        R.shared_dir(Session())
