@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 
+from symbolake.sources.scan import template_end
+
 #: File extensions by language.
 EXTENSIONS = {"py": "Python", "pyi": "Python", "ts": "TypeScript", "tsx": "TypeScript", "js": "JavaScript", "jsx": "JavaScript", "mjs": "JavaScript", "cjs": "JavaScript"}
 
@@ -30,8 +32,6 @@ _JS = re.compile(
 _JS_GAP = re.compile(r"(?:\s+|//[^\n]*\n|@[\w$.]+(?:\([^()]*\))?|\b(?:export|default|async|static|public|private|protected|readonly|override|abstract|declare|get|set)\b|\*)*\Z")
 #: Between the last brace, semicolon or line end and the name of a method: decorators and modifiers.
 _JS_LEAD = re.compile(r"\s*(?:@[\w$.]+(?:\([^()\n]*\))?\s*)*(?:(?:public|private|protected|static|async|readonly|override|abstract|get|set)\s+)*\*?\s*")
-_TEMPLATE = re.compile(r"\\.|`|\$\{", re.S)
-_INSERT = re.compile(r"""[{}`]|"(?:[^\\"\n]|\\.)*"|'(?:[^\\'\n]|\\.)*'|//[^\n]*|/\*.*?\*/""", re.S)
 _NO_METHOD = frozenset("if for while switch catch function return await typeof new".split())
 
 
@@ -40,20 +40,6 @@ def normal(text: str) -> str:
     return text.lstrip("﻿").replace("\r\n", "\n").replace("\r", "\n")
 
 
-def _template_end(text: str, at: int) -> int:
-    """Where a template string ends whose text begins at `at`, with what is inserted in it and the templates in there; the text's end if it doesn't."""
-    inside = ["`"]
-    while m := (_TEMPLATE if inside[-1] == "`" else _INSERT).search(text, at):
-        at, what = m.end(), m[0]
-        if what == inside[-1] or what == "}":
-            inside.pop()
-            if not inside:
-                return at
-        elif what in ("`", "${", "{"):
-            inside.append("`" if what == "`" else "{")
-    return len(text)
-
-
 class _Found:
     """Definitions in the order they begin: scope path, name, kind, raw documentation or None, start, end."""
 
@@ -107,7 +93,7 @@ def _braces(text: str) -> list:
     while m := _JS.search(text, at):
         at, kind = m.end(), m.lastgroup
         if kind == "tick":
-            at = _template_end(text, at)
+            at = template_end(text, at)
         elif kind == "doc":
             doc = m if m["doc"].startswith("/**") and len(m["doc"]) > 4 else doc
             edge = at
