@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,9 +93,9 @@ def dot(a: str, vector: list[float]):
 
 
 def vector_topk(rows: DataFrame, key: str, embedding: str, vector: list[float], limit: int = POOL) -> DataFrame:
-    """Exact nearest rows by dot product: (key, score). Null vectors, and vectors of another width, are left out."""
+    """Exact nearest rows by dot product: (key, score), to twelve digits, so that ties don't hang on the order of a sum. Null vectors, and vectors of another width, are left out."""
     fit = rows.where(F.col(embedding).isNotNull() & (F.size(embedding) == len(vector)))
-    return fit.select(key, dot(embedding, vector).alias("score")).orderBy(F.desc("score"), key).limit(limit)
+    return fit.select(key, F.round(dot(embedding, vector), 12).alias("score")).orderBy(F.desc("score"), key).limit(limit)
 
 
 def ivf_index(rows: DataFrame, key: str, embedding: str, cells: int = 32, sample: int = 20_000, seed: int = 7) -> tuple[DataFrame, np.ndarray]:
@@ -175,12 +175,12 @@ DIM = 64
 
 
 def hashed_vectors(texts: pd.Series, dim: int = DIM) -> np.ndarray:
-    """Deterministic unit vectors of texts: signed hashed sub-tokens. The offline default of the embedder."""
+    """Deterministic unit vectors of texts: signed hashed sub-tokens (of a token's MD5 the first byte names the place, the next bit the sign). The offline default of the embedder."""
     out = np.zeros((len(texts), dim))
     for i, t in enumerate(texts):
         for w in (t or "").lower().replace("_", " ").split():
-            h = xxhash.xxh64_intdigest(w)
-            out[i, h % dim] += 1.0 if h >> 63 else -1.0
+            h = hashlib.md5(w.encode()).digest()
+            out[i, h[0] % dim] += 1.0 if h[1] >> 7 else -1.0
     size = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(size > 0, size, 1.0)
 

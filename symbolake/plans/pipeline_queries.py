@@ -35,6 +35,12 @@ def extracted_symbols(spark, d):
     return parse(_sources(spark, d))[0].select("symbol_id", "name", "kind", "language", "repo", "file_path", "line_start", "line_end")
 
 
+def extracted_definitions(spark, d):
+    """Every definition found in the source documents and where it stands."""
+    found = parse(_sources(spark, d))[0].where(F.col("kind") != "File")
+    return found.select("repo", "file_path", "name", "kind", "line_start", "line_end")
+
+
 def extracted_files(spark, d):
     files = parse(_sources(spark, d))[0].where(F.col("kind") == "File")
     return files.select("repo", "file_path", "language", "line_end")
@@ -91,11 +97,14 @@ def changed_counts(spark, d):
     return I.status_counts(c)
 
 
-QUERIES = {f.__name__: f for f in (extracted_symbols, extracted_files, extract_and_resolve, store_roundtrip, streamed_changes, offline_summaries, all_summaries, embedded_search_rows, changed_counts)}
+QUERIES = {f.__name__: f for f in (extracted_symbols, extracted_definitions, extracted_files, extract_and_resolve, store_roundtrip, streamed_changes, offline_summaries, all_summaries, embedded_search_rows, changed_counts)}
 
 _NODES = "nodes AS (SELECT * FROM symbols WHERE symbol_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol_id ORDER BY ordinal) = 1)"
 _LISTS = """lists AS (SELECT repo, "commit", 'added' AS change, unnest(added) AS p FROM change_sets UNION ALL SELECT repo, "commit", 'modified', unnest(modified) FROM change_sets UNION ALL SELECT repo, "commit", 'deleted', unnest(deleted) FROM change_sets)"""
 SQL = {
+    "extracted_definitions": """WITH f AS (SELECT DISTINCT repo, file_path FROM documents WHERE repo IS NOT NULL AND file_path IS NOT NULL AND text IS NOT NULL),
+        newest AS (SELECT * FROM symbols WHERE symbol_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol_id ORDER BY indexed_at DESC, ordinal DESC) = 1)
+        SELECT repo, file_path, name, kind, line_start, line_end FROM newest JOIN f USING (repo, file_path) WHERE kind <> 'File'""",
     "extracted_files": """WITH t AS (SELECT repo, file_path, replace(replace(ltrim(min(text), chr(65279)), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents WHERE repo IS NOT NULL AND file_path IS NOT NULL AND text IS NOT NULL GROUP BY ALL)
         SELECT repo, file_path, CASE WHEN regexp_matches(lower(file_path), '\\.pyi?$') THEN 'Python' WHEN regexp_matches(lower(file_path), '\\.tsx?$') THEN 'TypeScript' ELSE 'JavaScript' END AS language, len(string_split(text, chr(10)))::INT AS line_end
         FROM t WHERE regexp_matches(lower(file_path), '\\.(pyi?|tsx?|jsx?|mjs|cjs)$')""",

