@@ -16,7 +16,8 @@ from symbolake.sources.store import SCHEMAS
 _SESSIONS: dict[tuple[str, str], Session] = {}
 
 
-def _session(spark: SparkSession, d: str) -> Session:
+def _session(spark: SparkSession, d: str, search: bool = False) -> Session:
+    """A session over the tables; the rows to search are put in for the tool that reads them."""
     key = spark.sparkContext.applicationId, d
     if key not in _SESSIONS or not _SESSIONS[key].store.exists():
         s = Session(spark, place(spark, "tools"))
@@ -25,9 +26,12 @@ def _session(spark: SparkSession, d: str) -> Session:
         symbols = symbols.select(*(F.coalesce(F.col(c), F.lit("" if t == "string" else -1).cast(t)).alias(c) if c in needed else F.col(c) for c, t in symbols.dtypes))
         edges = table(spark, d, "edges").where("src_id is not null and dst_id is not null and kind is not null")
         edges = edges.withColumn("confidence", F.coalesce("confidence", F.lit(0.0))).withColumn("cross_repo", F.coalesce("cross_repo", F.lit(False)))
-        s.store.commit(symbols=symbols, edges=edges, enrichment=table(spark, d, "enrichment").where("symbol_id is not null"), search=V.embed(search_text(spark, d), "text"))
+        s.store.commit(symbols=symbols, edges=edges, enrichment=table(spark, d, "enrichment").where("symbol_id is not null"))
         _SESSIONS[key] = s
-    return _SESSIONS[key]
+    s = _SESSIONS[key]
+    if search and s.store.read("search").isEmpty():
+        s.store.commit(search=V.embed(search_text(spark, d), "text"))
+    return s
 
 
 def _id(df: DataFrame) -> str:
@@ -40,9 +44,6 @@ def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema)
 
 
-_HOP = "symbol_id string, name string, kind string, repo string, location string, depth int, via string"
-
-
 def tool_zoom(spark, d):
     s = _session(spark, d)
     got = s.zoom(_id(graph_queries._focus(s.graph()[1])))
@@ -52,7 +53,7 @@ def tool_zoom(spark, d):
 
 def tool_ripple(spark, d):
     s = _session(spark, d)
-    return _table(spark, s.ripple(_id(graph_queries._focus(s.graph()[1])))["dependents"], _HOP)
+    return s.ripple_rows(_id(graph_queries._focus(s.graph()[1])))
 
 
 def tool_thread(spark, d):
@@ -85,7 +86,7 @@ def tool_suggest(spark, d):
 
 
 def tool_search(spark, d):
-    return _table(spark, _session(spark, d).search(QUESTION)["results"], "symbol_id string, name string, repo string, location string, deps long")
+    return _table(spark, _session(spark, d, search=True).search(QUESTION)["results"], "symbol_id string, name string, repo string, location string, deps long")
 
 
 def tool_guide(spark, d):

@@ -19,7 +19,7 @@ from symbolake.operators import retrieval as V
 from symbolake.operators import style as S
 from symbolake.operators.resolve import resolve
 from symbolake.providers import complete_all
-from symbolake.runtime import materialize, scope
+from symbolake.runtime import materialize, scope, shed_shuffles
 from symbolake.sources import git, manifests
 from symbolake.sources.repo_walk import parse, parse_files, read_trees
 from symbolake.sources.store import GraphStore
@@ -137,8 +137,9 @@ class Session:
         if not version:
             raise FileNotFoundError(f"no index in {self.store.path}; build one with `link` or `index`")
         if self._loaded is None or self._loaded[0] != version:
-            nodes, edges = G.load_graph(self.spark, self.store.read("symbols"), self.store.read("edges"))
-            self._loaded = version, materialize(nodes, "nodes", keep=True), materialize(edges, "adjacency", keep=True)
+            with shed_shuffles(self.spark):
+                nodes = materialize(G.node_set(self.store.read("symbols")), "nodes", keep=True)
+                self._loaded = version, nodes, materialize(G.attach_edges(self.store.read("edges"), nodes), "adjacency", keep=True)
         return self._loaded[1:]
 
     def _cards(self, nodes: DataFrame, limit: int | None = None) -> list[dict]:
@@ -191,6 +192,14 @@ class Session:
         reached = materialize(G.ripple(at, edges, nodes, depth), "ripple")
         return {"focus": focus, "found": True, "total_dependents": reached.count(), "by_repo": _rows(R.by_repo(reached, nodes).orderBy(F.desc("symbols"), "repo")), "dependents": self._hops(reached, nodes)}
 
+    def ripple_rows(self, focus: str, depth: int = G.DEPTH) -> DataFrame:
+        """The dependents of `ripple` as a frame, which the driver never holds: a hub's can be a large part of all symbols."""
+        nodes, edges, at = self._focus(focus)
+        if at is None:
+            return G.hops(self.spark.createDataFrame([], "symbol_id string, depth int, via string"), nodes)
+        with shed_shuffles(self.spark):
+            return G.hops(G.ripple(at, edges, nodes, depth), nodes)
+
     def _hops(self, reached, nodes) -> list[dict]:
         return _rows(G.hops(reached, nodes).orderBy("depth", "repo", "name", "symbol_id"))
 

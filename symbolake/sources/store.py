@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from symbolake.runtime import shed_shuffles
 from symbolake.sources.pointer import Pointer
 
 _s = lambda n, null=False: T.StructField(n, T.StringType(), null)
@@ -69,7 +70,8 @@ class GraphStore:
             if name in BY_PACKAGE:
                 sizes = out.groupBy(BY_PACKAGE[name]).agg(F.ceil(F.count(F.lit(1)) / FILE_ROWS).alias("_files"))  # a large package spreads over files
                 out = out.join(F.broadcast(sizes) if sizes.count() <= FEW else sizes, BY_PACKAGE[name]).repartition(F.col(BY_PACKAGE[name]), F.pmod(F.xxhash64("symbol_id"), "_files")).select(*schema.names)
-            (out.write.partitionBy(BY_PACKAGE[name]) if name in BY_PACKAGE else out.write).parquet(f"{self.path}/_graph/{at}")
+            with shed_shuffles(self.spark):
+                (out.write.partitionBy(BY_PACKAGE[name]) if name in BY_PACKAGE else out.write).parquet(f"{self.path}/_graph/{at}")
             where[name] = at
         self.pointer.put(version, json.dumps(where))
         return version + 1
